@@ -1 +1,8 @@
 """Operators for large training-data pipelines; nothing else in the library imports this folder."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of the package: what tasks use of it travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

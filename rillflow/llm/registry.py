@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import media_query, mixing, sharding, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
@@ -35,10 +35,34 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    """The file of the byte-level tokenizer; a parameter of the operator, never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Writes the token files of documents (doc_id, text) and reads them back: a row per document."""
+    at = shared_dir(spark)
+    bounds = token_files.ranges(docs, "doc_id", "text", spark.sparkContext.defaultParallelism)
+    tokens = token_files.encoded(docs, "doc_id", "text", tokenizer_path(), 0, bounds)
+    index = stored(token_files.write_files(tokens, f"{at}/tokens", len(bounds) + 1, wide=False), f"{at}/index")
+    read = token_files.read_back(index, f"{at}/tokens").join(F.broadcast(token_files.starts(index)), "part")  # a row per file
+    return read.select(F.col("key").alias("doc_id"), (F.col("ahead") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", "part")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids with end id 0, in Arrow files of 2,048-token sequences."""
+    return token_rows(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tiff_pages": media_query.op1_tiff_pages,
         "op3_sharding": op3_sharding,
         "op6_mixing": op6_mixing,
+        "op7_token_files": op7_token_files,
     }
 
 
