@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_query, mixing, sharding, token_files
+from . import decontaminate, media_query, mixing, sharding, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words; a document is contaminated from 5 % of its words on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").drop("text")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `bytes`: 16 shards of nearly equal bytes from 4,096 virtual slots and a stored map."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +66,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff_pages": media_query.op1_tiff_pages,
+        "op2_winnowing": op2_winnowing,
         "op3_sharding": op3_sharding,
         "op6_mixing": op6_mixing,
         "op7_token_files": op7_token_files,
@@ -67,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_winnowing": decontaminate.ORACLE}
