@@ -16,12 +16,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +35,19 @@ SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
 FILE_BYTES = (16 << 20, 512 << 20)
 #: Pieces of text whose ids a worker remembers; when full it starts anew.
-CACHE_PIECES = 300_000
-DOCS_AT_ONCE = 256
+CACHE_PIECES = 1_200_000
+DOCS_AT_ONCE = 4096
+BYTES_AT_ONCE = 6 << 20
 
-PIECE = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r" \s|\s |^ | $")
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps what it has learned from task to task."""
+    held = sys.modules.setdefault("_rillflow_encoders", types.ModuleType("_rillflow_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class Encoder:
@@ -56,26 +67,85 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.by_piece = self.by_piece and not any(" " in t["content"] for t in spec.get("added_tokens") or [])
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        #: Ids of " " + piece, None where that is no piece of its own; and ids of whole starts of texts.
+        self.known: dict[str, bytes | None] = {}
+        self.starts: dict[str, bytes] = {}
+        if self.by_piece:
+            sizes = np.zeros(self.tok.get_vocab_size(), np.int64)
+            for token, i in self.tok.get_vocab().items():
+                sizes[i] = len(token)  # byte-level: a character for each byte
+            self.token_bytes = sizes
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        cut = PIECE.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        return [cut[0], *[" " + x for x in cut[1:]]]
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that all begin with a space and end without: encoded as one text, cut by their bytes."""
+        if not pieces:
+            return []
+        ids = np.array(self.tok.encode("".join(pieces), add_special_tokens=False).ids, self.dtype)
+        ends = np.cumsum(self.token_bytes[ids])
+        cuts = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        at = np.searchsorted(ends, cuts)
+        if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], cuts):  # never seen; the slow way is always right
+            return self._direct(pieces)
+        raw, to = ids.tobytes(), ((at + 1) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *to], to)]  # noqa: B905
+
+    def _whole(self, text: str) -> bytes:
+        """A text with runs of white space: cut only at single spaces between other characters."""
+        first, *rest = CUT.split(text)
+        rest = [" " + p for p in rest]
+        tail = [rest.pop()] if rest and rest[-1][-1].isspace() else []
+        return b"".join([*self._direct([first]), *self._joined(rest), *self._direct(tail)])
+
+    def _learn(self, pieces: list[str], at: dict, lead: str) -> list[bytes | None]:
+        """Ids of pieces after `lead`; None where white space at a border makes it no piece of its own."""
+        new = list(set(pieces) - at.keys())
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        at.update(dict.fromkeys(new))
+        at.update(zip(plain, self._joined([lead + p for p in plain]) if lead else self._direct(plain), strict=True))
+        return list(map(at.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
+        """Splits all texts at spaces, looks each distinct piece up once, and gathers the ids by index."""
+        if not self.by_piece or not texts:
             return self._direct(texts)
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        known.update(zip(new, self._direct(new), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for held, most in ((self.known, CACHE_PIECES), (self.starts, CACHE_PIECES // 8)):
+            if len(held) > most:
+                held.clear()
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        codes = coded.indices.to_numpy().copy()
+        firsts = codes[offsets[:-1]]
+        pieces = coded.dictionary.to_pylist()
+        begins = [pieces[c] for c in firsts.tolist()]
+        codes[offsets[:-1]] = len(pieces) + np.arange(len(texts))
+        blobs = self._learn(pieces, self.known, " ") + self._learn(begins, self.starts, "")
+        odd = np.fromiter((b is None for b in blobs), bool, len(blobs))
+        bad = np.logical_or.reduceat(odd[codes], offsets[:-1]) if odd.any() else np.zeros(len(texts), bool)
+        size = self.dtype.itemsize
+        lens = np.fromiter((len(b) // size if b else 0 for b in blobs), np.int64, len(blobs))
+        flat = np.frombuffer(b"".join(b for b in blobs if b), self.dtype)
+        count = lens[codes]
+        ends = np.cumsum(count)
+        at = np.repeat((np.cumsum(lens) - lens)[codes] - (ends - count), count)
+        at += np.arange(len(at))
+        ids = flat[at]
+        to = np.concatenate([[0], ends])[offsets].tolist()
+        return [self._whole(t) if b else ids[x:y].tobytes() for t, b, x, y in zip(texts, bad.tolist(), to, to[1:])]  # noqa: B905
+
+
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about BYTES_AT_ONCE of text, one row at least."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(sizes, done + BYTES_AT_ONCE, "right")), at + 1), at + DOCS_AT_ONCE, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 ENCODED = T.StructType(
@@ -102,11 +172,10 @@ def encoded(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, bou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc, cuts, pack = Encoder(tokenizer), np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
+        enc, cuts, pack = _encoder(tokenizer), np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], enc.dtype).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                b = whole.slice(at, DOCS_AT_ONCE)
+            for b in _slices(whole, 1):
                 ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
                 keys = b.column(0).to_pylist()
                 part = np.searchsorted(cuts, np.array([k if k is not None else np.iinfo(np.int64).min for k in keys], np.int64), side="right")
