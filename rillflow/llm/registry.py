@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media_query, mixing, sharding, token_files
+from . import decontaminate, media_query, mixing, neardup, sharding, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
@@ -63,6 +63,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity of 0.75 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff_pages": media_query.op1_tiff_pages,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op6_mixing": op6_mixing,
         "op7_token_files": op7_token_files,
+        "op8_neardup": op8_neardup,
     }
 
 
