@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media_query, mixing, neardup, sharding, token_files
+from . import decontaminate, langid, media_query, mixing, neardup, sharding, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
@@ -29,6 +29,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(key: str, n: int):
+    """crc32 of the key as text, modulo n; a null key counts as empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from text and lang of the documents that aren't held out."""
+    return langid.train(docs.filter(_remainder("doc_id", 5) != 0), "text", "lang")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), "text", language_model(docs))
+    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Sizes, quotas and taken tokens of documents (doc_id, source, text)."""
     sized = docs.select("doc_id", "source", n_blank_words(F.col("text")).alias("size"))
@@ -73,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_tiff_pages": media_query.op1_tiff_pages,
         "op2_winnowing": op2_winnowing,
         "op3_sharding": op3_sharding,
+        "op4_language": op4_language,
         "op6_mixing": op6_mixing,
         "op7_token_files": op7_token_files,
         "op8_neardup": op8_neardup,
