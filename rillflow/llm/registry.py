@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media_query, mixing, neardup, sharding, token_files
+from . import decontaminate, katz, langid, media_query, mixing, neardup, sharding, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
@@ -46,6 +46,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz bigram model of six sevenths of the documents, scoring all of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("train", _remainder("doc_id", 7) != 2)
+    rows, tokens = katz.score(docs, "doc_id", "text", "train")
+    return rows.select(
+        F.col("key").alias("doc_id"), (_remainder("key", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Sizes, quotas and taken tokens of documents (doc_id, source, text)."""
     sized = docs.select("doc_id", "source", n_blank_words(F.col("text")).alias("size"))
@@ -91,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_winnowing": op2_winnowing,
         "op3_sharding": op3_sharding,
         "op4_language": op4_language,
+        "op5_katz": op5_katz,
         "op6_mixing": op6_mixing,
         "op7_token_files": op7_token_files,
         "op8_neardup": op8_neardup,
