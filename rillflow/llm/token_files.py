@@ -20,6 +20,7 @@ import sys
 import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,12 @@ from pyspark.sql.window import Window
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
 FILE_BYTES = (16 << 20, 512 << 20)
-#: Pieces of text whose ids a worker remembers; when full it starts anew.
-CACHE_PIECES = 1_200_000
+#: Pieces of text in a generation of a worker's memory; two generations are kept, what is used moves to the younger.
+CACHE_PIECES = 250_000
 DOCS_AT_ONCE = 4096
-BYTES_AT_ONCE = 6 << 20
+BYTES_AT_ONCE = 4 << 20
+#: Marks that follow a word without a space; cut off so that a word is learned once.
+MARKS = ".,;:!?%$&*#|"
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -50,11 +53,35 @@ def _encoder(path: str) -> Encoder:
     return held[path]
 
 
+class Memory:
+    """Ids of pieces, bounded: a full generation replaces the one before, and what is looked up is kept."""
+
+    def __init__(self, learn):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.learn = learn
+
+    def get(self, pieces: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        lost = [p for p in set(pieces) - young.keys()]
+        if lost:
+            kept = [p for p in lost if p in old]
+            young.update(zip(kept, map(old.__getitem__, kept), strict=True))
+            new = [p for p in lost if p not in old] if len(kept) < len(lost) else []
+            young.update(zip(new, self.learn(new), strict=True))
+        out = list(map(young.__getitem__, pieces))
+        if len(young) > CACHE_PIECES:
+            self.young, self.old = {}, young
+        return out
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned integers.
 
-    A byte-level tokenizer that splits words with their leading space never joins text across a single
-    space between two other characters, so those pieces are encoded once and remembered. Any other tokenizer encodes whole texts.
+    A byte-level tokenizer cuts text before a single space between two other characters, and between
+    letters and marks. Such pieces are encoded by the library once and remembered: words of letters,
+    which the library never cuts, by its model alone, other pieces by the whole tokenizer. Any other
+    tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -65,76 +92,84 @@ class Encoder:
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.by_piece = self.by_piece and not any(" " in t["content"] for t in spec.get("added_tokens") or [])
+        self.by_piece = self.by_piece and spec["model"]["type"] == "BPE" and not any(" " in t["content"] or t["content"].isalpha() for t in spec.get("added_tokens") or [])
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        #: Ids of " " + piece, None where that is no piece of its own; and ids of whole starts of texts.
-        self.known: dict[str, bytes | None] = {}
-        self.starts: dict[str, bytes] = {}
         if self.by_piece:
-            sizes = np.zeros(self.tok.get_vocab_size(), np.int64)
-            for token, i in self.tok.get_vocab().items():
-                sizes[i] = len(token)  # byte-level: a character for each byte
-            self.token_bytes = sizes
+            # The public byte-level rule: printable bytes show as themselves, the others in turn from U+0100 on.
+            plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+            others = [i for i in range(256) if i not in plain]
+            self.show = {i: chr(i) for i in plain} | {i: chr(256 + k) for k, i in enumerate(others)}
+            self.space = self.show[0x20]
+            self.marks = Memory(self._direct)
+            self.cores = Memory(self._words)
+            self.pieces = Memory(self._after_space)
+            self.firsts = Memory(self._at_start)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that all begin with a space and end without: encoded as one text, cut by their bytes."""
-        if not pieces:
-            return []
-        ids = np.array(self.tok.encode("".join(pieces), add_special_tokens=False).ids, self.dtype)
-        ends = np.cumsum(self.token_bytes[ids])
-        cuts = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
-        at = np.searchsorted(ends, cuts)
-        if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], cuts):  # never seen; the slow way is always right
-            return self._direct(pieces)
-        raw, to = ids.tobytes(), ((at + 1) * self.dtype.itemsize).tolist()
-        return [raw[a:b] for a, b in zip([0, *to], to)]  # noqa: B905
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + letters: one piece to the tokenizer, so its model sees it whole."""
+        model, show, kind = self.tok.model, self.show, "H" if self.dtype.itemsize == 2 else "I"
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(show) for w in words]
+        ids = [array(kind, [t.id for t in model.tokenize(self.space + w)]) for w in shown]
+        if sys.byteorder == "big":
+            for x in ids:
+                x.byteswap()
+        return [x.tobytes() for x in ids]
+
+    @staticmethod
+    def _letters(core: str) -> bool:
+        """Letters that every Unicode version knows."""
+        return core.isalpha() and (core.isascii() or max(core) < "\u0250")
+
+    def _after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of " " + piece; empty where white space at a border makes it no piece of its own."""
+        cores = [p.rstrip(MARKS) for p in pieces]
+        simple = [self._letters(c) for c in cores]
+        words = self.cores.get([c for c, s in zip(cores, simple, strict=True) if s])
+        tails = self.marks.get([p[len(c) :] for p, c, s in zip(pieces, cores, simple, strict=True) if s])
+        rest = [p for p, s in zip(pieces, simple, strict=True) if not s]
+        whole = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in rest]
+        ids = iter(self._direct([" " + p for p, w in zip(rest, whole, strict=True) if w]))
+        other = iter([next(ids) if w else b"" for w in whole])
+        easy = iter([a + b for a, b in zip(words, tails, strict=True)])
+        return [next(easy) if s else next(other) for s in simple]
+
+    def _at_start(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a text's first piece; empty where it is none."""
+        whole = [bool(p) and not p[-1].isspace() for p in pieces]
+        ids = iter(self._direct([p for p, w in zip(pieces, whole, strict=True) if w]))
+        return [next(ids) if w else b"" for w in whole]
 
     def _whole(self, text: str) -> bytes:
         """A text with runs of white space: cut only at single spaces between other characters."""
         first, *rest = CUT.split(text)
-        rest = [" " + p for p in rest]
         tail = [rest.pop()] if rest and rest[-1][-1].isspace() else []
-        return b"".join([*self._direct([first]), *self._joined(rest), *self._direct(tail)])
-
-    def _learn(self, pieces: list[str], at: dict, lead: str) -> list[bytes | None]:
-        """Ids of pieces after `lead`; None where white space at a border makes it no piece of its own."""
-        new = list(set(pieces) - at.keys())
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        at.update(dict.fromkeys(new))
-        at.update(zip(plain, self._joined([lead + p for p in plain]) if lead else self._direct(plain), strict=True))
-        return list(map(at.__getitem__, pieces))
+        return b"".join([*self._direct([first]), *self.pieces.get(rest), *self._direct([" " + p for p in tail])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Splits all texts at spaces, looks each distinct piece up once, and gathers the ids by index."""
         if not self.by_piece or not texts:
             return self._direct(texts)
-        for held, most in ((self.known, CACHE_PIECES), (self.starts, CACHE_PIECES // 8)):
-            if len(held) > most:
-                held.clear()
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
         codes = coded.indices.to_numpy().copy()
-        firsts = codes[offsets[:-1]]
         pieces = coded.dictionary.to_pylist()
-        begins = [pieces[c] for c in firsts.tolist()]
+        begins = [pieces[c] for c in codes[offsets[:-1]].tolist()]
         codes[offsets[:-1]] = len(pieces) + np.arange(len(texts))
-        blobs = self._learn(pieces, self.known, " ") + self._learn(begins, self.starts, "")
-        odd = np.fromiter((b is None for b in blobs), bool, len(blobs))
-        bad = np.logical_or.reduceat(odd[codes], offsets[:-1]) if odd.any() else np.zeros(len(texts), bool)
-        size = self.dtype.itemsize
-        lens = np.fromiter((len(b) // size if b else 0 for b in blobs), np.int64, len(blobs))
-        flat = np.frombuffer(b"".join(b for b in blobs if b), self.dtype)
+        blobs = self.pieces.get(pieces) + self.firsts.get(begins)
+        lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        bad = np.logical_or.reduceat((lens == 0)[codes], offsets[:-1]).tolist()
+        flat = np.frombuffer(b"".join(blobs), self.dtype)
         count = lens[codes]
         ends = np.cumsum(count)
         at = np.repeat((np.cumsum(lens) - lens)[codes] - (ends - count), count)
         at += np.arange(len(at))
         ids = flat[at]
         to = np.concatenate([[0], ends])[offsets].tolist()
-        return [self._whole(t) if b else ids[x:y].tobytes() for t, b, x, y in zip(texts, bad.tolist(), to, to[1:])]  # noqa: B905
+        return [(self._whole(t) if t else b"") if b else ids[x:y].tobytes() for t, b, x, y in zip(texts, bad, to, to[1:])]  # noqa: B905
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
