@@ -67,3 +67,15 @@ def stored(df: DataFrame, at: str, *partition_by: str) -> DataFrame:
     (out.partitionBy(*partition_by) if partition_by else out).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
+
+
+def split_words(texts, lower: bool = True):
+    """Arrow list array of the pieces between runs of ASCII white space; nulls are empty texts.
+
+    The texts are copied first: Arrow's string kernels are not right for every kind of slice.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    own = pc.take(texts, pa.array(range(len(texts)), pa.int64())).cast(pa.string()).fill_null("")
+    return pc.ascii_split_whitespace(pc.ascii_lower(own) if lower else own)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored
+from .common import shared_dir, split_words, stored
 
 CHUNK_TOKENS = 2_000_000
 BYTES_AT_ONCE = 4 << 20
@@ -65,7 +65,7 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's end token included, and offsets by text."""
     import pandas as pd
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    split = split_words(texts)
     offsets = split.offsets.to_numpy()
     coded = split.values.dictionary_encode()
     words = coded.dictionary.to_pandas().to_numpy(dtype=object)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import split_words
+
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 16
 #: Nats: what switching costs, and the most that one word can say against a language.
@@ -170,7 +172,7 @@ ADDED = [
 
 def label(texts: pa.Array, model: Model) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """(language, score, spans) of each text."""
-    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    split = split_words(texts, lower=False)
     at = split.offsets.to_numpy().tolist()
     coded = split.values.dictionary_encode()
     codes = coded.indices.to_numpy()

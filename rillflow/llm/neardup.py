@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-from .common import shared_dir, stored
+from .common import shared_dir, split_words, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -63,7 +63,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased, split at ASCII white space), and offsets by text."""
     import pandas as pd
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    split = split_words(texts)
     offsets = split.offsets.to_numpy()
     coded = split.values.dictionary_encode()
     words = coded.dictionary.to_pandas().to_numpy(dtype=object)
