@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, langid, media_query, mixing, neardup, sharding, token_files
+from . import decontaminate, katz, langid, media_query, mixing, neardup, sharding, styletree, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
@@ -95,6 +95,11 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op10_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by its host's style tree."""
+    return styletree.extract_pages(table(spark, sf_dir, "pages"), "url", "html").select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff_pages": media_query.op1_tiff_pages,
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_token_files": op7_token_files,
         "op8_neardup": op8_neardup,
+        "op10_site_style": op10_site_style,
     }
 
 
