@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, langid, media_query, mixing, neardup, sharding, styletree, token_files
+from . import decontaminate, katz, langid, media_query, mixing, neardup, quality, sharding, styletree, token_files
 from .common import n_blank_words, shared_dir, stored, table
 
 
@@ -56,9 +56,9 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Sizes, quotas and taken tokens of documents (doc_id, source, text)."""
-    sized = docs.select("doc_id", "source", n_blank_words(F.col("text")).alias("size"))
+def mix_documents(spark: SparkSession, docs: DataFrame, *more: str) -> DataFrame:
+    """Sizes, quotas and taken tokens of documents (doc_id, source, text, and small columns to keep)."""
+    sized = docs.select("doc_id", "source", *more, n_blank_words(F.col("text")).alias("size"))
     targeted = stored(mixing.targets(mixing.weights(mixing.source_sizes(sized))), shared_dir(spark))  # one row per source
     return mixing.mix(sized, "doc_id", mixing.quotas(targeted, mixing.block_plan(targeted)))
 
@@ -95,6 +95,18 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document; source is the host, source and language the path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = ["quality", "toxic"]
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(*[F.max(c).alias(f"{c}_known") for c in labels])
+    joined = docs.join(known, "doc_id", "left").withColumn("path", F.concat_ws("/", "source", "lang"))
+    labelled = joined.filter(F.col("quality_known").isNotNull() & F.col("toxic_known").isNotNull()).select("text", *[F.col(f"{c}_known").alias(c) for c in labels])
+    scored = quality.classify(joined.drop("lang"), "text", quality.train(labelled, "text", labels))
+    found = quality.posteriors(stored(scored, shared_dir(spark)), "source", "path", labels)
+    return found.select("doc_id", "quality", "toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"), "p_quality", "p_toxic")
+
+
 def op10_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by its host's style tree."""
     return styletree.extract_pages(table(spark, sf_dir, "pages"), "url", "html").select("page_id", "url", "text", "n_chars")
@@ -110,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_token_files": op7_token_files,
         "op8_neardup": op8_neardup,
+        "op9_quality": op9_quality,
         "op10_site_style": op10_site_style,
     }
 
