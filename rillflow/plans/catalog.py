@@ -4,5 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from . import basics, nexmark, traces
+
+QUERIES: dict[str, Callable] = {**basics.QUERIES, **nexmark.QUERIES, **traces.QUERIES}
+ORACLES: dict[str, str] = {**basics.ORACLES, **nexmark.ORACLES, **traces.ORACLES}
