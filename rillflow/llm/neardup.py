@@ -7,10 +7,12 @@ that share a band are candidates. The Jaccard estimate corrects the register mat
 that sets of these sizes are expected to have; pairs well below the threshold go no further. The rest is
 confirmed on the full sets.
 
-Documents of equal sets are one node. Of a shared band every node is compared with the smallest node;
-what this leaves in different components is compared in cells of `CELL` x `CELL` nodes, nodes outside
-the smallest node's component against all, so that no pair inside a component is ever enumerated and no
-link between components that share a band is lost. No cap on bands or candidates applies.
+Documents of equal sets are one node. The nodes of a shared band are compared with the band's center, the
+node that meets most others over all its bands; all nodes with one center are its family. Families that
+this leaves in different components are compared in cells of `CELL` x `CELL` nodes, nodes outside the
+center's component against all, first by estimate, then exactly; a cell joins two components once. So no
+pair is enumerated as a row, pairs inside a component are left alone, and no link between components that
+share a band is lost. No cap on bands or candidates applies.
 
 Edge cases: null, empty or blank texts have no shingles, link with nothing and are kept; texts of fewer
 words than a shingle are one shingle; repeated rows of an id are one document and each gets a row; rows
@@ -42,7 +44,7 @@ REST_BITS = 64 - BUCKET_BITS
 MANTISSA = 10
 BAND = 4
 SIGMAS = 5.0
-CELL = 256
+CELL = 512
 #: Ids to broadcast at most (8 bytes each), counted first; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 BYTES_AT_ONCE = 4 << 20
@@ -273,40 +275,90 @@ def components(edges: DataFrame, at: str) -> DataFrame:
     return labels
 
 
-def _cells(members: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b, j) of different components that share a band and pass the estimate, not counting those
-    with the band's smallest node. members: doc, band, key, center; comps: node, root; reps: doc, n, bands."""
-    label = comps.select(F.col("node").alias("doc"), "root")
-    known = members.join(label, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    main = comps.select(F.col("node").alias("center"), F.col("root").alias("main"))
-    known = known.join(main, "center", "left").withColumn("main", F.coalesce("main", "center"))
-    split = known.groupBy("band", "key").agg(
-        F.count(F.when(F.col("root") != F.col("main"), 1)).alias("out"), F.count("*").alias("all"), F.min(F.when(F.col("root") != F.col("main"), F.col("root"))).alias("r0"), F.max(F.when(F.col("root") != F.col("main"), F.col("root"))).alias("r1")
-    )
-    # two nodes were compared already; a main component of the center alone and one other component need nothing
-    split = split.filter("out > 0 and all > 2").withColumn("rows", F.ceil(F.col("out") / CELL)).withColumn("cols", F.ceil(F.col("all") / CELL)).select("band", "key", "rows", "cols")
-    open_ = known.filter(F.col("doc") != F.col("center")).join(split, ["band", "key"]).join(reps, "doc")
-    place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    fields = ["band", "key", "doc", "root", "n", "bands"]
-    left = open_.filter(F.col("root") != F.col("main")).select(*fields, F.lit(0).alias("side"), place("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)).alias("j"))
-    right = open_.select(*fields, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("i"), place("cols").alias("j"))
+CELLED = "center long, i int, j int, side int, doc long, root long"
+
+
+def _cells(family: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of CELLED: what is still to compare in families that lie in several components.
+
+    family: doc, center. Outside the center's component stand the rows of side 0, cut into `rows` parts,
+    against all members (side 1) in `cols` parts, CELL documents each: part i meets part j in cell (i, j).
+    Pairs with the center were compared before.
+    """
+    label = lambda c, to: comps.select(F.col("node").alias(c), F.col("root").alias(to))
+    known = family.join(label("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    known = known.join(label("center", "main"), "center", "left").withColumn("main", F.coalesce("main", "center"))
+    outside = F.col("root") != F.col("main")
+    open_ = known.groupBy("center").agg(F.count(F.when(outside, 1)).alias("out"), F.count("*").alias("all")).filter("out > 0 and all > 1")
+    open_ = open_.select("center", F.ceil(F.col("out") / CELL).cast("int").alias("rows"), F.ceil(F.col("all") / CELL).cast("int").alias("cols"))
+    part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = known.join(open_, "center")
+    left = own.filter(outside).select("center", part("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("side"), "doc", "root")
+    right = own.select("center", every("rows").alias("i"), part("cols").alias("j"), F.lit(1).alias("side"), "doc", "root")
+    return left.unionByName(right)
+
+
+def _active(cells: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of cells with a partner of another component that sizes and estimate allow."""
+    schema = T._parse_datatype_string(CELLED)
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        doc, root, n = (table.column(c).to_numpy() for c in ("doc", "root", "n"))
+        side, doc, root, n = (table.column(c).to_numpy() for c in ("side", "doc", "root", "n"))
         regs = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1).copy().view(np.uint16)
-        out = []
-        cols = np.flatnonzero(side == 1)
+        cols, keep = np.flatnonzero(side == 1), np.zeros(len(doc), bool)
+        rounded = np.array([_rounded(x) for x in n])
+        sizes = np.unique(rounded[cols])
         for i in np.flatnonzero(side == 0):
             small, large = np.minimum(n[cols], n[i]), np.maximum(n[cols], n[i])
-            for k in cols[(root[cols] != root[i]) & (100 * small >= PERCENT * large)]:
-                j, e = estimate(regs[i], regs[k], n[i], n[k])
-                if j >= PERCENT / 100 - SIGMAS * e:
-                    out.append((max(doc[i], doc[k]), min(doc[i], doc[k]), j))
-        a, b, j = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=ESTIMATED.names)
+            k = cols[(root[cols] != root[i]) & (100 * small >= PERCENT * large)]
+            used = ((regs[k] != 0) | (regs[i] != 0)).sum(axis=1)
+            same = ((regs[k] == regs[i]) & (regs[i] != 0)).sum(axis=1)
+            chance = np.minimum(np.array([_expected(rounded[i], x) for x in sizes])[np.searchsorted(sizes, rounded[k])], np.maximum(used - 1, 0))
+            error = np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / np.maximum(used, 1))
+            likely = k[np.maximum(same - chance, 0) / np.maximum(used - chance, 1e-9) >= PERCENT / 100 - SIGMAS * error]
+            if len(likely):
+                keep[i] = True
+                keep[likely] = True
+        return table.select(schema.names).filter(pa.array(keep))
+
+    return cells.join(reps, "doc").select(*schema.names, "n", "bands").groupBy("center", "i", "j").applyInArrow(compare, schema)
 
-    return left.unionByName(right).groupBy("band", "key", "i", "j").applyInArrow(compare, ESTIMATED).groupBy("a", "b").agg(F.max("j").alias("j"))
+
+def _cell_links(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components in each cell by exact comparison; two components are joined once."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, doc, root = (table.column(c).to_numpy() for c in ("side", "doc", "root"))
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("members").chunks for x in c]
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        cols = np.flatnonzero(side == 1)
+        flat = np.concatenate([members[k] for k in cols]) if len(cols) else np.zeros(0, np.uint64)
+        size = np.array([len(members[k]) for k in cols], np.int64)
+        begin = np.cumsum(size) - size
+        out = []
+        for i in np.flatnonzero(side == 0):
+            own = members[i]
+            if not len(flat) or not len(own):
+                continue
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(found.astype(np.int64), begin)
+            for k in cols[(100 * both >= PERCENT * (size + len(own) - both)) & (doc[cols] != doc[i])]:
+                x, y = find(int(root[i])), find(int(root[k]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((max(doc[i], doc[k]), min(doc[i], doc[k])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=PAIR.names)
+
+    return active.join(sets, "doc").groupBy("center", "i", "j").applyInArrow(compare, PAIR)
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -318,9 +370,14 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     reps = stored(sig.filter("n > 0").join(groups.select(F.col("rep").alias("doc"), "set_key"), ["doc", "set_key"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "bands"), f"{at}/reps")
 
     bands = reps.select("doc", F.posexplode("bands").alias("band", "key")).filter("key <> 0")
-    shared = bands.groupBy("band", "key").agg(F.min("doc").alias("center"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = stored(bands.join(shared, ["band", "key"]).select("doc", "band", "key", "center"), f"{at}/members")
-    star = members.filter("doc <> center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct()
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
+    members = stored(bands.join(shared, ["band", "key"]), f"{at}/members")
+    # the document that meets most others over all its bands is the most typical of its copies
+    central = members.groupBy("doc").agg(F.sum("c").alias("met"))
+    center = members.join(central, "doc").groupBy("band", "key").agg((-F.max(F.struct("met", (-F.col("doc")).alias("d")))["d"]).alias("center"))
+    center = stored(center, f"{at}/centers")
+    family = stored(members.join(center, ["band", "key"]).filter("doc <> center").select("doc", "center").distinct(), f"{at}/family")
+    star = family.select(F.col("doc").alias("a"), F.col("center").alias("b"))
     side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}"))
     star = stored(_likely(star.join(side("a"), "a").join(side("b"), "b").filter(_sizes_allow("n_a", "n_b"))), f"{at}/star")
 
@@ -340,10 +397,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = links.unionByName(stored(confirmed(rest, sets), f"{at}/links2"))
     comps = components(links, f"{at}/cc2")
 
-    cross = stored(_cells(members, comps, reps), f"{at}/cross")
-    new = stored(ids(cross).join(sets.select("doc"), "doc", "left_anti"), f"{at}/ids3")
+    active = stored(_active(_cells(family, comps), reps), f"{at}/active")
+    new = stored(active.select("doc").distinct().join(sets.select("doc"), "doc", "left_anti"), f"{at}/ids3")
     more = sets.unionByName(stored(full_sets(docs, new), f"{at}/sets3"))
-    last = stored(confirmed(cross, more), f"{at}/links3")
+    last = stored(_cell_links(active, more), f"{at}/links3")
     if not last.isEmpty():
         comps = components(links.unionByName(last), f"{at}/cc3")
 
