@@ -36,9 +36,9 @@ SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
 FILE_BYTES = (16 << 20, 512 << 20)
 #: Pieces of text in a generation of a worker's memory; two generations are kept, what is used moves to the younger.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 DOCS_AT_ONCE = 4096
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 8 << 20
 #: Marks that follow a word without a space; cut off so that a word is learned once.
 MARKS = ".,;:!?%$&*#|"
 
@@ -63,13 +63,17 @@ class Memory:
 
     def get(self, pieces: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        lost = [p for p in set(pieces) - young.keys()]
-        if lost:
-            kept = [p for p in lost if p in old]
-            young.update(zip(kept, map(old.__getitem__, kept), strict=True))
-            new = [p for p in lost if p not in old] if len(kept) < len(lost) else []
+        out = list(map(young.get, pieces))
+        if None in out:
+            lost = list(dict.fromkeys(p for p, x in zip(pieces, out, strict=True) if x is None))
+            new = []
+            for p in lost:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
             young.update(zip(new, self.learn(new), strict=True))
-        out = list(map(young.__getitem__, pieces))
+            out = list(map(young.__getitem__, pieces))
         if len(young) > CACHE_PIECES:
             self.young, self.old = {}, young
         return out
@@ -101,18 +105,19 @@ class Encoder:
             self.show = {i: chr(i) for i in plain} | {i: chr(256 + k) for k, i in enumerate(others)}
             self.space = self.show[0x20]
             self.marks = Memory(self._direct)
-            self.cores = Memory(self._words)
+            self.line = self._direct(["\n"])[0]
+            self.cores = Memory(lambda words: self._words(words, self.space))
             self.pieces = Memory(self._after_space)
             self.firsts = Memory(self._at_start)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of " " + letters: one piece to the tokenizer, so its model sees it whole."""
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of lead + letters: one piece to the tokenizer, so its model sees it whole."""
         model, show, kind = self.tok.model, self.show, "H" if self.dtype.itemsize == 2 else "I"
         shown = [w if w.isascii() else w.encode().decode("latin-1").translate(show) for w in words]
-        ids = [array(kind, [t.id for t in model.tokenize(self.space + w)]) for w in shown]
+        ids = [array(kind, [t.id for t in model.tokenize(lead + w)]) for w in shown]
         if sys.byteorder == "big":
             for x in ids:
                 x.byteswap()
@@ -124,23 +129,40 @@ class Encoder:
         return core.isalpha() and (core.isascii() or max(core) < "\u0250")
 
     def _after_space(self, pieces: list[str]) -> list[bytes]:
-        """Ids of " " + piece; empty where white space at a border makes it no piece of its own."""
-        cores = [p.rstrip(MARKS) for p in pieces]
+        """Ids of " " + piece; empty where white space at a border makes it no piece of its own.
+
+        A line end between other characters is a piece too, and what follows it begins without a space.
+        """
+        lines = [p.split("\n") if "\n" in p else None for p in pieces]
+        plain = [c is None or len(c) == 2 and bool(c[0]) and bool(c[1]) and not any(map(str.isspace, p[: len(c[0])] + c[1])) for p, c in zip(pieces, lines, strict=True)]
+        heads = [p if c is None else c[0] for p, c, x in zip(pieces, lines, plain, strict=True) if x]
+        cores = [p.rstrip(MARKS) for p in heads]
         simple = [self._letters(c) for c in cores]
-        words = self.cores.get([c for c, s in zip(cores, simple, strict=True) if s])
-        tails = self.marks.get([p[len(c) :] for p, c, s in zip(pieces, cores, simple, strict=True) if s])
-        rest = [p for p, s in zip(pieces, simple, strict=True) if not s]
+        words = iter(self.cores.get([c for c, s in zip(cores, simple, strict=True) if s]))
+        tails = iter(self.marks.get([p[len(c) :] for p, c, s in zip(heads, cores, simple, strict=True) if s]))
+        rest = [p for p, s in zip(heads, simple, strict=True) if not s]
         whole = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in rest]
         ids = iter(self._direct([" " + p for p, w in zip(rest, whole, strict=True) if w]))
         other = iter([next(ids) if w else b"" for w in whole])
-        easy = iter([a + b for a, b in zip(words, tails, strict=True)])
-        return [next(easy) if s else next(other) for s in simple]
+        begun = iter([next(words) + next(tails) if s else next(other) for s in simple])
+        after = iter(self.firsts.get([c[1] for c, x in zip(lines, plain, strict=True) if x and c]))
+        odd = [p for p, x in zip(pieces, plain, strict=True) if not x]
+        whole = [not p[0].isspace() and not p[-1].isspace() for p in odd]
+        ids = iter(self._direct([" " + p for p, w in zip(odd, whole, strict=True) if w]))
+        strange = iter([next(ids) if w else b"" for w in whole])
+        return [next(strange) if not x else next(begun) if c is None else next(begun) + self.line + next(after) for x, c in zip(plain, lines, strict=True)]
 
     def _at_start(self, pieces: list[str]) -> list[bytes]:
-        """Ids of a text's first piece; empty where it is none."""
-        whole = [bool(p) and not p[-1].isspace() for p in pieces]
-        ids = iter(self._direct([p for p, w in zip(pieces, whole, strict=True) if w]))
-        return [next(ids) if w else b"" for w in whole]
+        """Ids of a text's first piece, or a line's; empty where it is none."""
+        cores = [p.rstrip(MARKS) for p in pieces]
+        simple = [self._letters(c) for c in cores]
+        words = iter(self._words([c for c, s in zip(cores, simple, strict=True) if s], ""))
+        tails = iter(self.marks.get([p[len(c) :] for p, c, s in zip(pieces, cores, simple, strict=True) if s]))
+        rest = [p for p, s in zip(pieces, simple, strict=True) if not s]
+        whole = [bool(p) and not p[-1].isspace() for p in rest]
+        ids = iter(self._direct([p for p, w in zip(rest, whole, strict=True) if w]))
+        other = iter([next(ids) if w else b"" for w in whole])
+        return [next(words) + next(tails) if s else next(other) for s in simple]
 
     def _whole(self, text: str) -> bytes:
         """A text with runs of white space: cut only at single spaces between other characters."""
@@ -160,13 +182,14 @@ class Encoder:
         begins = [pieces[c] for c in codes[offsets[:-1]].tolist()]
         codes[offsets[:-1]] = len(pieces) + np.arange(len(texts))
         blobs = self.pieces.get(pieces) + self.firsts.get(begins)
-        lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        lens = np.fromiter(map(len, blobs), np.int32, len(blobs)) // np.int32(self.dtype.itemsize)
         bad = np.logical_or.reduceat((lens == 0)[codes], offsets[:-1]).tolist()
         flat = np.frombuffer(b"".join(blobs), self.dtype)
         count = lens[codes]
         ends = np.cumsum(count)
-        at = np.repeat((np.cumsum(lens) - lens)[codes] - (ends - count), count)
-        at += np.arange(len(at))
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(lens) - lens)[codes] - (ends - count)).astype(kind), count)
+        at += np.arange(len(at), dtype=kind)
         ids = flat[at]
         to = np.concatenate([[0], ends])[offsets].tolist()
         return [(self._whole(t) if t else b"") if b else ids[x:y].tobytes() for t, b, x, y in zip(texts, bad, to, to[1:])]  # noqa: B905
