@@ -200,7 +200,6 @@ def identify(docs: DataFrame, text: str, model: Model, spans: bool = True) -> Da
     """Adds lang_pred, score and (where asked for) spans to docs."""
     added = ADDED if spans else ADDED[:2]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {a.name for a in ADDED}] + added)
-    held = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = {f.name: f.type for f in to_arrow_schema(T.StructType(added))}
@@ -214,7 +213,7 @@ def identify(docs: DataFrame, text: str, model: Model, spans: bool = True) -> Da
                 done = sizes[at - 1] if at else 0
                 to = min(max(int(np.searchsorted(sizes, done + BYTES_AT_ONCE, "right")), at + 1), whole.num_rows)
                 b, at = whole.slice(at, to - at), to
-                got = list(zip(*label(b.column(column), held.value), strict=True))
+                got = list(zip(*label(b.column(column), model), strict=True))
                 columns = [b.column(b.schema.get_field_index(f.name)) for f in schema.fields[: len(schema.fields) - len(added)]]
                 for f, x in zip(added, got, strict=False):
                     x = [[dict(zip(("lang", "first_word", "n_words"), s, strict=True)) for s in y] for y in x] if f.name == "spans" else list(x)

@@ -22,7 +22,6 @@ and text columns only; others are left out.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -121,9 +120,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(empty, 0, packed + np.uint64(1)).astype(np.uint16)
 
 
-@functools.lru_cache(100_000)
-def _expected(n: int, m: int) -> float:
-    """Expected registers that agree by chance, for independent sets of n and m elements."""
+def _expected(n: int, m: int, held: dict[tuple[int, int], float] = {}) -> float:  # noqa: B006
+    """Expected registers that agree by chance, for independent sets of n and m elements (sizes come rounded)."""
+    if (n, m) in held:
+        return held[n, m]
     lead = np.arange(REST_BITS)[:, None]
     cut = np.arange((1 << MANTISSA) + 1)[None, :]
     edge = (2.0 ** -(lead + 1.0)) * (1 + cut / (1 << MANTISSA))  # a register's share of the remainders
@@ -133,7 +133,8 @@ def _expected(n: int, m: int) -> float:
         above = np.exp(k * np.log1p(-p * edge))
         return above[:, :-1] - above[:, 1:]
 
-    return float(BUCKETS * (chance(n) * chance(m)).sum())
+    held[n, m] = float(BUCKETS * (chance(n) * chance(m)).sum())
+    return held[n, m]
 
 
 def _rounded(n: int) -> int:

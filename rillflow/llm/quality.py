@@ -194,14 +194,13 @@ def classify(docs: DataFrame, text: str, model: Model) -> DataFrame:
     labels = list(model.weights)
     given = [c for c in docs.columns if c != text]
     schema = T.StructType([*(docs.schema[c] for c in given), *(T.StructField(f"p_{c}", T.DoubleType()) for c in labels)])
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             column = whole.schema.get_field_index(text)
             for b in _slices(whole, column):
-                x = held.value.design(b.column(column))
-                p = [1 / (1 + np.exp(-np.clip(x @ held.value.weights[c], -30, 30))) for c in labels]
+                x = model.design(b.column(column))
+                p = [1 / (1 + np.exp(-np.clip(x @ model.weights[c], -30, 30))) for c in labels]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in given), *map(pa.array, p)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
