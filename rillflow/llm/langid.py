@@ -91,7 +91,7 @@ class Model:
         k, n = len(self.languages), len(words)
         word, bucket, script = grams(words)
         letters = np.bincount(word, minlength=n)
-        scores = np.stack([np.bincount(word, self.logp[i][bucket], minlength=n) for i in range(k)], axis=1)
+        scores = np.stack([np.bincount(word, self.logp[i][bucket], minlength=n) for i in range(k)], axis=1).astype(np.float64)
         first = np.zeros(n, np.int64)
         at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         first[word[at]] = script[at]
