@@ -34,7 +34,7 @@ from .common import shared_dir, split_words, stored
 SAMPLE = 8000
 WORDS, MIN_DOCS, MIN_Z = 300, 8, 4.0
 RIDGE = 1.0
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 STRENGTH = (1.0, 1e6)
 EDGE = 1e-6
 SHAPE = ["log_words", "marks", "upper", "digits", "distinct", "repeated", "bars", "word_length"]
@@ -83,7 +83,8 @@ def features(texts: pa.Array, chosen: dict[str, int]) -> tuple[np.ndarray, np.nd
         same = np.bincount(doc[1:], (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1]), minlength=n)
     odd = total["all"] - total["letters"] - total["digits"] - total["common"]
     shape = np.stack([np.log1p(count), odd / chars, total["upper"] / chars, total["digits"] / chars, distinct / safe, same / safe, total["bars"] / safe, total["all"] / safe], axis=1)
-    own = [[chosen[f] for f in forms(w) if f in chosen] for w in words] if chosen else [[] for _ in words]
+    heads, none = {f.rstrip("-")[: PREFIXES[0]] for f in chosen}, []
+    own = [[chosen[f] for f in forms(w) if f in chosen] if w.strip(MARKS).lower()[: PREFIXES[0]] in heads else none for w in words]
     size = np.array([len(x) for x in own] or [0])
     flat = np.array([i for x in own for i in x], np.int64)
     used = pairs[size[pairs % max(1, len(words))] > 0]

@@ -100,10 +100,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = ["quality", "toxic"]
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(*[F.max(c).alias(f"{c}_known") for c in labels])
-    joined = docs.join(known, "doc_id", "left").withColumn("path", F.concat_ws("/", "source", "lang"))
-    labelled = joined.filter(F.col("quality_known").isNotNull() & F.col("toxic_known").isNotNull()).select("text", *[F.col(f"{c}_known").alias(c) for c in labels])
-    scored = quality.classify(joined.drop("lang"), "text", quality.train(labelled, "text", labels))
-    found = quality.posteriors(stored(scored, shared_dir(spark)), "source", "path", labels)
+    known = stored(known.dropna(), shared_dir(spark))
+    share = quality.SAMPLE / max(1, known.count())
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share)  # about SAMPLE rows: broadcast
+    labelled = docs.join(F.broadcast(drawn), "doc_id").select("text", *[F.col(f"{c}_known").alias(c) for c in labels])
+    scored = stored(quality.classify(docs.withColumn("path", F.concat_ws("/", "source", "lang")).drop("lang"), "text", quality.train(labelled, "text", labels)), shared_dir(spark))
+    found = quality.posteriors(scored.join(known, "doc_id", "left"), "source", "path", labels)
     return found.select("doc_id", "quality", "toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"), "p_quality", "p_toxic")
 
 
