@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, ascii_lower, words
+from .common import NOT_WORD, ascii_lower, shared_dir, stored, words
 
 WINDOW = 13
 GRAM = 5
@@ -112,6 +112,7 @@ def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, item_i
         .select("k_", "t_", "ids", "shift", w.alias("w"), F.explode_outer(starts).alias("s"))
         .filter(F.col("s").isNotNull())
     )
+    hits = stored(hits, shared_dir(docs.sparkSession))
     places = F.sequence(F.col("s") + F.col("shift"), F.col("s") + F.col("shift") + F.col("w") - 1)
     n_hit = hits.select("k_", "t_", F.explode(places).alias("p")).distinct().groupBy("k_", "t_").agg(F.count("*").alias("n_hit"))
     ids = hits.select("k_", "t_", F.explode("ids").alias("id")).distinct().groupBy("k_", "t_").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # a document's items
