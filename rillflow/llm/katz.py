@@ -61,6 +61,17 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, byte by byte: the high bytes of the gaps are zeros."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return pack(np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = unpack(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's end token included, and offsets by text."""
     import pandas as pd
@@ -103,7 +114,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             docs = np.concatenate([d for d, _ in held])
             words, codes = np.unique(tokens, return_inverse=True)
             counts = np.bincount(codes, np.repeat(docs["train"], docs["n"]), minlength=len(words)).astype(np.uint32)
-            row = (base, pack(docs), pack(codes.astype(np.uint32)), words.tobytes(), pack(counts))
+            row = (base, pack(docs), pack(codes.astype(np.uint32)), pack_keys(words), pack(counts))
             base += 1
             return _batch(CHUNK, [row])
 
@@ -135,7 +146,7 @@ def _requests(chunk: int, keys: np.ndarray, values: np.ndarray, n_buckets: int)
     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     for b, (x, y) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
         if y > x:
-            yield b, chunk, keys[x:y].tobytes(), pack(values[x:y])
+            yield b, chunk, pack_keys(keys[x:y]), pack(values[x:y])
 
 
 def served(requests: DataFrame, n_buckets: int, dtype, at: str, kind: str, keep: bool = True) -> DataFrame:
@@ -151,7 +162,7 @@ def served(requests: DataFrame, n_buckets: int, dtype, at: str, kind: str, keep:
             return
         rows.sort(key=lambda r: r[1])
         bucket = rows[0][0]
-        keys = [np.frombuffer(r[2], np.uint64) for r in rows]
+        keys = [unpack_keys(r[2]) for r in rows]
         values = np.concatenate([unpack(r[3], dtype) for r in rows])
         ends = np.cumsum([len(k) for k in keys]).tolist()
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -171,7 +182,7 @@ def served(requests: DataFrame, n_buckets: int, dtype, at: str, kind: str, keep:
             yield _batch(ANSWER, [("answer", bucket, r[1], pack(own[a:b]) if whole else None, pack(out[a:b]))])
         if keep:
             full = sums > 0 if whole else sums[dtype.names[0]] > 0
-            yield _batch(ANSWER, [("table", bucket, None, distinct[full].tobytes(), pack(sums[full]))])
+            yield _batch(ANSWER, [("table", bucket, None, pack_keys(distinct[full]), pack(sums[full]))])
         if whole:
             r, n = np.unique(sums[sums > 0], return_counts=True)
             yield _batch(ANSWER, [("stat", bucket, None, r.tobytes(), pack(n.astype(np.uint64)))])
@@ -230,7 +241,7 @@ class Chunk:
     """Arrays of one chunk: docs, token codes, sorted word hashes; bigrams as sorted distinct keys."""
 
     def __init__(self, row: dict):
-        self.docs, self.words = unpack(row["docs"], DOC), np.frombuffer(row["words"], np.uint64)
+        self.docs, self.words = unpack(row["docs"], DOC), unpack_keys(row["words"])
         self.codes = unpack(row["codes"], np.uint32)
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +297,7 @@ def score(docs: DataFrame, key: str, text: str, train: str) -> tuple[DataFrame,
     table = spark.table(name)
     n_buckets = max(1, int(size // (3 * REQUESTS_PER_BUCKET)))
 
-    ask = _map_chunks(table, ["chunk", "words", "counts"], lambda r: _requests(r["chunk"], np.frombuffer(r["words"], np.uint64), unpack(r["counts"], np.uint32), n_buckets), REQUEST)
+    ask = _map_chunks(table, ["chunk", "words", "counts"], lambda r: _requests(r["chunk"], unpack_keys(r["words"]), unpack(r["counts"], np.uint32), n_buckets), REQUEST)
     words = served(ask, n_buckets, np.uint32, at, "unigrams")
     uni = Unigrams(statistics(words))
 
