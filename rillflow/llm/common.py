@@ -79,3 +79,28 @@ def split_words(texts, lower: bool = True):
 
     own = pc.take(texts, pa.array(range(len(texts)), pa.int64())).cast(pa.string()).fill_null("")
     return pc.ascii_split_whitespace(pc.ascii_lower(own) if lower else own)
+
+
+def tidied(run):
+    """run, giving back to the system at a task's end what its worker process no longer uses.
+
+    Workers live from task to task and from stage to stage; without this their pools keep the peak of each.
+    """
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, split_words, stored
+from .common import shared_dir, split_words, stored, tidied
 
 CHUNK_TOKENS = 2_000_000
 BYTES_AT_ONCE = 4 << 20
@@ -137,7 +137,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield close()
 
-    return docs.select("key", "train", "text").mapInArrow(run, CHUNK)
+    return docs.select("key", "train", "text").mapInArrow(tidied(run), CHUNK)
 
 
 def _requests(chunk: int, keys: np.ndarray, values: np.ndarray, n_buckets: int) -> Iterator[tuple]:
@@ -188,7 +188,7 @@ def served(requests: DataFrame, n_buckets: int, dtype, at: str, kind: str, keep:
             yield _batch(ANSWER, [("stat", bucket, None, r.tobytes(), pack(n.astype(np.uint64)))])
 
     dealt = requests.repartitionById(n_buckets, F.col("bucket"))
-    table = stored(dealt.mapInArrow(run, ANSWER).withColumn("set", F.lit(kind)), f"{at}/{kind}", "kind")
+    table = stored(dealt.mapInArrow(tidied(run), ANSWER).withColumn("set", F.lit(kind)), f"{at}/{kind}", "kind")
     return table.select("set", *ANSWER.names)
 
 
@@ -200,7 +200,7 @@ def statistics(table: DataFrame) -> dict[int, int]:
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.uint64).astype(np.int64)), pa.array(unpack(v, np.uint64).astype(np.int64))], names=["r", "n"])
 
-    rows = table.filter("kind = 'stat'").select("keys", "values").mapInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
+    rows = table.filter("kind = 'stat'").select("keys", "values").mapInArrow(tidied(run), "r long, n long").groupBy("r").agg(F.sum("n").alias("n"))
     low = {r["r"]: r["n"] for r in rows.filter(F.col("r") <= LOW + 1).collect()}  # LOW + 1 rows
     total, kinds = rows.agg(F.sum(F.col("r") * F.col("n")), F.sum("n")).first()
     return {"n": low, "tokens": total or 0, "kinds": kinds or 0}
@@ -281,7 +281,7 @@ def _map_chunks(table: DataFrame, columns: list[str], fn, schema: T.StructType)
                 for row in fn({c: b.column(k)[i].as_py() for k, c in enumerate(columns)}):
                     yield _batch(schema, [row])
 
-    return table.select(*columns).mapInArrow(run, schema)
+    return table.select(*columns).mapInArrow(tidied(run), schema)
 
 
 def score(docs: DataFrame, key: str, text: str, train: str) -> tuple[DataFrame, int]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-from .common import shared_dir, split_words, stored
+from .common import shared_dir, split_words, stored, tidied
 
 SHINGLE = 5
 PERCENT = 75
@@ -187,7 +187,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1], pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys, pa.binary()), lists], names=SIGNATURE.names)
 
-    return docs.select("doc", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc", "text").mapInArrow(tidied(run), SIGNATURE)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.select("doc", "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return chosen.mapInArrow(run, SETS).dropDuplicates(["doc"])
+    return chosen.mapInArrow(tidied(run), SETS).dropDuplicates(["doc"])
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -222,7 +222,7 @@ def _likely(pairs: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([j for j, _ in got], pa.float64())], names=ESTIMATED.names)
             yield out.filter(keep)
 
-    return pairs.select("a", "b", "bands_a", "bands_b", "n_a", "n_b").mapInArrow(run, ESTIMATED)
+    return pairs.select("a", "b", "bands_a", "bands_b", "n_a", "n_b").mapInArrow(tidied(run), ESTIMATED)
 
 
 def _sizes_allow(n: str, m: str):
@@ -244,7 +244,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = pairs.select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(run, PAIR)
+    return two.select("a", "b", "sa", "sb").mapInArrow(tidied(run), PAIR)
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored
+from .common import shared_dir, stored, tidied
 
 MIN_PAGES = 5
 THRESHOLD = 0.4
@@ -294,7 +294,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(rows.values()), pa.int64())], names=[*STYLE.names, "k"])
 
-    partial = pages.select("host", "html").mapInArrow(run, T.StructType([*STYLE.fields, T.StructField("k", T.LongType())]))
+    partial = pages.select("host", "html").mapInArrow(tidied(run), T.StructType([*STYLE.fields, T.StructField("k", T.LongType())]))
     return partial.groupBy("host", "kind", "style", "value", "path").agg(F.sum("k").alias("k"))
 
 
@@ -340,4 +340,4 @@ def extract_pages(pages: DataFrame, url: str, page: str) -> DataFrame:
                 own = [b.column(b.schema.get_field_index(c)) for c in given]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)

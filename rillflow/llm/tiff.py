@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidied
+
 # Fixed values of the TIFF 6.0 specification: tag numbers, bytes per field type, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION = 256, 257, 258, 259, 270
 STRIP_AT, SAMPLES, ROWS, STRIP_LEN, PLANAR = 273, 277, 278, 279, 284
@@ -376,7 +378,7 @@ def with_tiff(df: DataFrame, text: str, out: str = "media") -> DataFrame:
             for i, x in enumerate(texts):
                 yield {n: b.column(n)[i].as_py() for n in keep} | {out: store_text(x.as_py())}
 
-    return df.mapInArrow(lambda it: _batches(rows(it), arrow, lambda r: len(r[out])), schema)
+    return df.mapInArrow(tidied(lambda it: _batches(rows(it), arrow, lambda r: len(r[out]))), schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -409,4 +411,4 @@ def tiff_pages(df: DataFrame, media: str, extra: list[T.StructField] = (), deriv
                         row |= derive(data, page)
                     yield {n: row.get(n) for n in arrow.names}
 
-    return df.mapInArrow(lambda it: _batches(rows(it), arrow, lambda r: len(r.get("samples") or b"")), schema)
+    return df.mapInArrow(tidied(lambda it: _batches(rows(it), arrow, lambda r: len(r.get("samples") or b""))), schema)

@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import tidied
+
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
 FILE_BYTES = (16 << 20, 512 << 20)
 #: Pieces of text in a generation of a worker's memory; two generations are kept, what is used moves to the younger.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 60_000
 DOCS_AT_ONCE = 4096
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 5 << 20
 #: Marks that follow a word without a space; cut off so that a word is learned once.
 MARKS = ".,;:!?%$&*#|"
 
@@ -242,7 +244,7 @@ def encoded(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, bou
                     names=ENCODED.names,
                 )
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, ENCODED)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), ENCODED)
 
 
 def _write_file(at: str, part: int, dtype: np.dtype, seq_len: int, rows: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple]:
@@ -309,7 +311,7 @@ def write_files(tokens: DataFrame, at: str, n_parts: int, wide: bool, seq_len: i
             yield _index(held)
 
     dealt = tokens.repartitionById(n_parts, F.col("part")).sortWithinPartitions(F.col("key").asc_nulls_first())
-    return dealt.mapInArrow(run, INDEX)
+    return dealt.mapInArrow(tidied(run), INDEX)
 
 
 def _chain(head, rest):
@@ -370,7 +372,7 @@ def read_back(index: DataFrame, at: str) -> DataFrame:
                 crcs.append(zlib.crc32(file.ids(begin, n).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crcs, pa.int64())], names=schema.names)
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(tidied(run), schema)
 
 
 def ranges(df: DataFrame, key: str, text: str, slots: int, file_bytes: tuple[int, int] = FILE_BYTES) -> list[int]:
