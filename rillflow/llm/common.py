@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -54,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
 def _remove(spark: SparkSession, at: str) -> None:
     """At the end of the driver; a session that has ended already leaves the folder to the cluster."""
     if spark.sparkContext._jsc is None:
+        if at.startswith("file://" + tempfile.gettempdir()):
+            shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
         return
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
