@@ -7,7 +7,7 @@ from rillflow.operators import stateless, windows
 from rillflow.plans import nexmark
 from rillflow.sources import connectors, generated
 from rillflow.sources import nexmark as gen
-from rillflow.streaming import jobs, metrics, processors, sinks
+from rillflow.streaming import jobs, metrics, processors, queries, sinks
 
 
 @pytest.fixture(autouse=True)
@@ -151,3 +151,23 @@ def test_stepped_rate(spark):
 def test_kafka_options():
     o = connectors.kafka_options("h:1", "t", 5)
     assert o["startingOffsets"] == "earliest" and o["maxOffsetsPerTrigger"] == "5" and o["subscribe"] == "t"
+
+
+def test_chained_windows(spark, tmp_path):
+    data = [(1, 10450), (1, 10600), (1, 10750), (2, 10700), (2, 11000), (3, 12800), (3, 12820), (3, 12830), (3, 12900), (3, 14900), (9, 99_000)]
+    df = spark.createDataFrame([(a, a, 10 * i, i, ms) for i, (a, ms) in enumerate(data)], "auction long, bidder long, price long, bid_id long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    bids = stream(spark, df, tmp_path / "in").withWatermark("ts", "0 seconds")
+    got = sinks.replayed(queries.hot_items(bids, "1 second", "500 milliseconds"), "hot", str(tmp_path / "a")).select(F.unix_millis("window_end"), "auction", "bid_count").collect()
+    want = {10500: (1, 1), 11000: (1, 3), 11500: (2, 2), 12000: (2, 1), 13000: (3, 4), 13500: (3, 4), 15000: (3, 1), 15500: (3, 1)}
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    got = sinks.replayed(queries.highest_bid(bids, "2 seconds"), "top", str(tmp_path / "b")).select(F.unix_millis("window_end"), "price", "auction").collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {12000: (40, 2), 14000: (80, 3), 16000: (90, 3)}
+
+
+def test_interval_join_emits_each_person_once(spark, tmp_path):
+    people = spark.createDataFrame([(100, "Alice", 1000), (101, "Bob", 1100), (103, "Dave", 1360), (1, "END", 3_600_000)], "id long, name string, ms long").select("id", "name", F.timestamp_millis("ms").alias("ts"))
+    lots = spark.createDataFrame([(100, 1250), (100, 1500), (101, 1600), (101, 1601), (100, 1900), (1, 3_600_000)], "seller long, ms long").select("seller", F.timestamp_millis("ms").alias("auction_ts"))
+    p = stream(spark, people, tmp_path / "p").withWatermark("ts", "0 seconds")
+    a = stream(spark, lots, tmp_path / "a").withWatermark("auction_ts", "0 seconds")
+    got = sinks.replayed(queries.new_users(p, a, "500 milliseconds"), "once", str(tmp_path / "cp")).collect()
+    assert sorted(r.name for r in got if r.name != "END") == ["Alice", "Bob"]
