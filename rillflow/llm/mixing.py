@@ -62,13 +62,14 @@ def targets(weighted: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     )
 
 
-def seats(targeted: DataFrame, houses: DataFrame) -> DataFrame:
-    """Sainte-Laguë seats of each source for every house size: columns of targeted, house, seats.
+def seats(targeted: DataFrame, houses: list[int]) -> DataFrame:
+    """Sainte-Laguë seats of each source for every house size: columns of targeted, nth (of houses), house, seats.
 
-    `houses` has a column house. The rows grow with sources times houses, not with seats.
+    The rows grow with sources times houses, not with seats.
     """
-    both = targeted.crossJoin(F.broadcast(houses))  # rows of the report: one per source and output shard
-    w = Window.partitionBy("house")
+    sizes = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(h).cast("long").alias("house")) for i, h in enumerate(houses)])
+    both = targeted.withColumn("h_", F.explode(sizes)).select(*targeted.columns, "h_.nth", "h_.house")
+    w = Window.partitionBy("nth")
     total, n = F.sum("target").over(w), F.count(F.when(F.col("target") > 0, 1)).over(w)
     low = F.greatest(F.lit(0.0), (F.col("house") - n / 2 - 1) / F.col("total"))
     high = (F.col("house") + n / 2 + 1) / F.col("total")
@@ -81,48 +82,44 @@ def seats(targeted: DataFrame, houses: DataFrame) -> DataFrame:
     keys = [c for c in targeted.columns if c != "source"]
     return (
         ranked.withColumn("won", won.cast("long"))
-        .groupBy("house", *keys)
+        .groupBy("nth", "house", *keys)
         .agg(F.first("source").alias("source"), (F.first("sure") + F.sum("won")).cast("long").alias("seats"))
     )
 
 
-def shard_quotas(targeted: DataFrame, block: DataFrame, n_shards: int) -> DataFrame:
+def shard_quotas(targeted: DataFrame, blocks: int, n_shards: int) -> DataFrame:
     """Integer block quotas per output shard and source: shard, source, blocks (and columns of targeted).
 
     Shard s holds seats house(s-1) < n <= house(s); more seats never take one away from a source
     (house monotone), so quotas are differences of the seats of successive houses.
     """
-    shard = F.explode(F.sequence(F.lit(1), F.lit(n_shards)))
-    houses = block.select(shard.alias("shard"), "blocks").select(
-        "shard", F.floor(F.col("blocks") * F.col("shard") / n_shards).cast("long").alias("house")
-    )
-    by_house = seats(targeted, houses.select("house").distinct()).join(F.broadcast(houses), "house")
-    w = Window.partitionBy("place").orderBy("shard")
-    return by_house.withColumn("blocks", F.col("seats") - F.coalesce(F.lag("seats").over(w), F.lit(0)))
+    by_house = seats(targeted, [blocks * (s + 1) // n_shards for s in range(n_shards)])
+    w = Window.partitionBy("place").orderBy("nth")
+    return by_house.withColumn("shard", F.col("nth") + 1).withColumn("blocks", F.col("seats") - F.coalesce(F.lag("seats").over(w), F.lit(0)))
 
 
-def block_plan(targeted: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row: block (tokens per block, smaller where the tables are small) and blocks (seats in all)."""
-    return targeted.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.count("*").alias("n")).select(
-        F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(F.col("all") / (F.col("n") * BLOCKS_PER_SOURCE)))).cast("long").alias("block"),
-        "all",
-    ).select("block", F.floor(F.col("all") / F.col("block")).cast("long").alias("blocks"))
+def block_plan(targeted: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[int, int]:
+    """Tokens per block (fewer where the tables are small) and blocks (seats in all)."""
+    tokens, n = targeted.agg(F.sum("source_size"), F.count("*")).first()
+    block = max(1, min(block_tokens, (tokens or 0) // (max(1, n) * BLOCKS_PER_SOURCE)))
+    return block, (tokens or 0) // block
 
 
-def quotas(targeted: DataFrame, block: DataFrame, max_repeats: int = MAX_REPEATS, n_shards: int = 16) -> DataFrame:
+def quotas(targeted: DataFrame, plan: tuple[int, int], max_repeats: int = MAX_REPEATS, n_shards: int = 16) -> DataFrame:
     """Adds to each source: seats, block, passes (whole passes), chosen (blocks of the last, partial one).
 
     A source's quota is the sum of its quotas over the output shards.
     """
-    dealt = shard_quotas(targeted, block, n_shards).groupBy("place").agg(F.sum("blocks").alias("seats"))
-    tokens = F.least(F.col("seats") * F.col("block"), F.col("source_size") * max_repeats)
+    block, blocks = plan
+    dealt = shard_quotas(targeted, blocks, n_shards).groupBy("place").agg(F.sum("blocks").alias("seats"))
+    tokens = F.least(F.col("seats") * block, F.col("source_size") * max_repeats)
     return (
         targeted.join(dealt, "place", "left")
         .na.fill(0, ["seats"])
-        .crossJoin(block.select("block"))  # one row
+        .withColumn("block", F.lit(block).cast("long"))
         .withColumn("tokens", tokens)
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("tokens") / F.col("source_size"))).otherwise(0))
-        .withColumn("chosen", F.round((F.col("tokens") - F.col("passes") * F.col("source_size")) / F.col("block")).cast("long"))
+        .withColumn("chosen", F.round((F.col("tokens") - F.col("passes") * F.col("source_size")) / block).cast("long"))
     )
 
 

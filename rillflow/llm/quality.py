@@ -229,14 +229,14 @@ def posteriors(scored: DataFrame, host: str, path: str, labels: list[str]) -> Da
     paths = base.groupBy(F.col(host).alias("h_"), F.col(path).alias("q_")).agg(F.count("*").cast("double").alias("n"), *[F.sum(f"e_{c}").alias(f"s_{c}") for c in labels])
     paths = stored(paths, f"{at}/paths")
     hosts = stored(paths.groupBy("h_").agg(F.sum("n").alias("n"), *[F.sum(f"s_{c}").alias(f"s_{c}") for c in labels]), f"{at}/hosts")
-    whole = hosts.agg(F.sum("n").alias("n_all"), *[(F.sum(f"s_{c}") / F.sum("n")).alias(f"mu_{c}") for c in labels])
-    top = hosts.crossJoin(whole)  # one row
-    k_host = top.agg(*[_strength(top, c, F.col(f"s_{c}") / F.col("n"), F.col(f"mu_{c}")) for c in labels])
-    shrunk = top.crossJoin(k_host).withColumns({f"m_{c}": (F.col(f"s_{c}") + F.col(f"k_{c}") * F.col(f"mu_{c}")) / (F.col("n") + F.col(f"k_{c}")) for c in labels})
+    whole = hosts.agg(*[(F.sum(f"s_{c}") / F.sum("n")).alias(f"mu_{c}") for c in labels]).first()  # one row
+    top = hosts.withColumns({f"mu_{c}": F.lit(whole[f"mu_{c}"]).cast("double") for c in labels})
+    k_host = top.agg(*[_strength(top, c, F.col(f"s_{c}") / F.col("n"), F.col(f"mu_{c}")) for c in labels]).first()
+    shrunk = top.withColumns({f"m_{c}": (F.col(f"s_{c}") + F.lit(k_host[f"k_{c}"]) * F.col(f"mu_{c}")) / (F.col("n") + F.lit(k_host[f"k_{c}"])) for c in labels})
     shrunk = shrunk.select(F.col("h_").alias("hh_"), *[f"m_{c}" for c in labels], *[f"mu_{c}" for c in labels])
-    inner = paths.join(shrunk, F.col("h_").eqNullSafe(F.col("hh_"))).drop("hh_")
-    k_path = inner.agg(*[_strength(inner, c, F.col(f"s_{c}") / F.col("n"), F.col(f"m_{c}")).alias(f"kp_{c}") for c in labels])
-    table = stored(inner.crossJoin(k_path), f"{at}/posteriors")  # one row per path
+    inner = stored(paths.join(shrunk, F.col("h_").eqNullSafe(F.col("hh_"))).drop("hh_"), f"{at}/inner")
+    k_path = inner.agg(*[_strength(inner, c, F.col(f"s_{c}") / F.col("n"), F.col(f"m_{c}")) for c in labels]).first()
+    table = inner.withColumns({f"kp_{c}": F.lit(k_path[f"k_{c}"]).cast("double") for c in labels})  # one row per path
     joined = base.join(table, F.col(host).eqNullSafe(F.col("h_")) & F.col(path).eqNullSafe(F.col("q_")))
     for c in labels:
         others = (F.col(f"s_{c}") - F.col(f"e_{c}") + F.col(f"kp_{c}") * F.col(f"m_{c}")) / (F.col("n") - 1 + F.col(f"kp_{c}"))
