@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from rillflow.plans import catalog
+from rillflow.plans import catalog, registry
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -14,15 +14,15 @@ def main(argv: list[str] | None = None) -> None:
     sub = parser.add_subparsers(dest="what", required=True)
     sub.add_parser("list")
     run = sub.add_parser("run")
-    run.add_argument("name", choices=sorted(catalog.QUERIES))
+    run.add_argument("name", choices=sorted([*registry.JOBS, *catalog.QUERIES]))
     run.add_argument("folder")
     run.add_argument("--out")
     args = parser.parse_args(argv)
     if args.what == "list":
-        print("\n".join(sorted(catalog.QUERIES)))
+        print("\n".join(sorted([*registry.JOBS, *catalog.QUERIES])))
         return
     spark = SparkSession.builder.appName(f"rillflow {args.name}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    df = catalog.QUERIES[args.name](spark, args.folder)
+    df = registry.query(args.name)(spark, args.folder)
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
     else:

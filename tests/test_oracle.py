@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from rillflow.plans import catalog
+from rillflow.plans import catalog, registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,6 +32,13 @@ def test_each_query_has_an_oracle():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
+def test_jobs_answer_to_their_names():
+    assert set(registry.JOBS.values()) <= set(catalog.QUERIES)
+    assert registry.query("nexmark_query5") is catalog.QUERIES["q5_hot_items"] and registry.query() is catalog.QUERIES["counter"]
+    with pytest.raises(KeyError):
+        registry.query("no such job")
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_same_rows(spark, duck, name):
     got = catalog.QUERIES[name](spark, DIR)
