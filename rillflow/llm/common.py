@@ -84,8 +84,8 @@ def split_words(texts, lower: bool = True):
     return pc.ascii_split_whitespace(pc.ascii_lower(own) if lower else own)
 
 
-def tidied(run):
-    """run, giving back to the system at a task's end what its worker process no longer uses.
+def tidied(run, keep: str = ""):
+    """run, dropping first what other operators remember in this worker process (all but `keep`), and giving back to the system at a task's end what its worker process no longer uses.
 
     Workers live from task to task and from stage to stage; without this their pools keep the peak of each.
     """
@@ -93,12 +93,11 @@ def tidied(run):
     def wrapped(batches):
         import ctypes
         import gc
+        import sys
 
         import pyarrow as pa
 
-        try:
-            yield from run(batches)
-        finally:
+        def trim() -> None:
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -106,4 +105,14 @@ def tidied(run):
             except (OSError, AttributeError):
                 pass  # another C library
 
+        others = [m for m in sys.modules if m.startswith("_rillflow_") and m != keep]
+        for m in others:
+            sys.modules.pop(m).__dict__.clear()
+        if others:
+            trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
     return wrapped

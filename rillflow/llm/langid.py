@@ -38,7 +38,7 @@ SWITCH, WORD_LIMIT = 8.0, 4.0
 #: A language uses a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 # First code points of Unicode script ranges, in order; 0 means any other.
 SCRIPT_STARTS = [0x0000, 0x0041, 0x0250, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x4E00, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00]
@@ -150,7 +150,7 @@ def train(docs: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAG
                     at, n = np.unique(x, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], names=COUNTS.names)
 
-    rows = sample.mapInArrow(tidied(run), COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()  # at most languages x (BUCKETS + scripts)
+    rows = sample.mapInArrow(tidied(run, "_rillflow_letters"), COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()  # at most languages x (BUCKETS + scripts)
     languages = sorted(rows["lang"].unique().tolist())
     counts, scripts = np.zeros((len(languages), BUCKETS)), np.zeros((len(SCRIPT_NAMES), len(languages)))
     for i, one in enumerate(languages):
@@ -220,4 +220,4 @@ def identify(docs: DataFrame, text: str, model: Model, spans: bool = True) -> Da
                     columns.append(pa.array(x, kinds[f.name]))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(tidied(run), schema)
+    return docs.mapInArrow(tidied(run, "_rillflow_letters"), schema)

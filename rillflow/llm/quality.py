@@ -160,7 +160,7 @@ def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPL
                 cols = list(zip(*held.values(), strict=True)) or [()] * (1 + len(labels))
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["word", "n", *[f"n_{c}" for c in labels]])
 
-    counts = some.mapInArrow(tidied(count), f"word string, n long, {fields}").groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *[f"n_{c}" for c in labels]]])
+    counts = some.mapInArrow(tidied(count, "_rillflow_kinds"), f"word string, n long, {fields}").groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *[f"n_{c}" for c in labels]]])
     total = some.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in labels]).first()
     z = []
     for c in labels:
@@ -178,7 +178,7 @@ def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPL
                 x[:, 1 : 1 + len(SHAPE)] = features(b.column(0), {})[0]
                 yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()), *b.columns[1:]], names=["x", *labels])
 
-    got = some.mapInArrow(tidied(rows), f"x binary, {', '.join(f'{c} int' for c in labels)}").toPandas()  # about `sample` rows
+    got = some.mapInArrow(tidied(rows, "_rillflow_kinds"), f"x binary, {', '.join(f'{c} int' for c in labels)}").toPandas()  # about `sample` rows
     if len(got):
         x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(np.float64)
         shape = x[:, 1 : 1 + len(SHAPE)]
@@ -204,7 +204,7 @@ def classify(docs: DataFrame, text: str, model: Model) -> DataFrame:
                 p = [1 / (1 + np.exp(-np.clip(x @ model.weights[c], -30, 30))) for c in labels]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in given), *map(pa.array, p)], names=schema.names)
 
-    return docs.mapInArrow(tidied(run), schema)
+    return docs.mapInArrow(tidied(run, "_rillflow_kinds"), schema)
 
 
 def _logit(p: Column) -> Column:

@@ -244,7 +244,7 @@ def encoded(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, bou
                     names=ENCODED.names,
                 )
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), ENCODED)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run, "_rillflow_encoders"), ENCODED)
 
 
 def _write_file(at: str, part: int, dtype: np.dtype, seq_len: int, rows: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple]:
@@ -311,7 +311,7 @@ def write_files(tokens: DataFrame, at: str, n_parts: int, wide: bool, seq_len: i
             yield _index(held)
 
     dealt = tokens.repartitionById(n_parts, F.col("part")).sortWithinPartitions(F.col("key").asc_nulls_first())
-    return dealt.mapInArrow(tidied(run), INDEX)
+    return dealt.mapInArrow(tidied(run, "_rillflow_encoders"), INDEX)
 
 
 def _chain(head, rest):
@@ -372,7 +372,7 @@ def read_back(index: DataFrame, at: str) -> DataFrame:
                 crcs.append(zlib.crc32(file.ids(begin, n).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crcs, pa.int64())], names=schema.names)
 
-    return index.mapInArrow(tidied(run), schema)
+    return index.mapInArrow(tidied(run, "_rillflow_encoders"), schema)
 
 
 def ranges(df: DataFrame, key: str, text: str, slots: int, file_bytes: tuple[int, int] = FILE_BYTES) -> list[int]:
