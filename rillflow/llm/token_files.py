@@ -40,7 +40,7 @@ FILE_BYTES = (16 << 20, 512 << 20)
 #: Pieces of text in a generation of a worker's memory; two generations are kept, what is used moves to the younger.
 CACHE_PIECES = 60_000
 DOCS_AT_ONCE = 4096
-BYTES_AT_ONCE = 5 << 20
+BYTES_AT_ONCE = 8 << 20
 #: Marks that follow a word without a space; cut off so that a word is learned once.
 MARKS = ".,;:!?%$&*#|"
 
@@ -106,65 +106,62 @@ class Encoder:
             others = [i for i in range(256) if i not in plain]
             self.show = {i: chr(i) for i in plain} | {i: chr(256 + k) for k, i in enumerate(others)}
             self.space = self.show[0x20]
-            self.marks = Memory(self._direct)
+            self.kind = "H" if self.dtype.itemsize == 2 else "I"
             self.line = self._direct(["\n"])[0]
-            self.cores = Memory(lambda words: self._words(words, self.space))
-            self.pieces = Memory(self._after_space)
-            self.firsts = Memory(self._at_start)
+            self.marks: dict[str, bytes] = {}
+            self.pieces = Memory(lambda pieces: self._learned(pieces, self.space, " "))
+            self.firsts = Memory(lambda pieces: self._learned(pieces, "", ""))
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of lead + letters: one piece to the tokenizer, so its model sees it whole."""
-        model, show, kind = self.tok.model, self.show, "H" if self.dtype.itemsize == 2 else "I"
-        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(show) for w in words]
-        ids = [array(kind, [t.id for t in model.tokenize(lead + w)]) for w in shown]
-        if sys.byteorder == "big":
-            for x in ids:
-                x.byteswap()
-        return [x.tobytes() for x in ids]
-
-    @staticmethod
-    def _letters(core: str) -> bool:
-        """Letters that every Unicode version knows."""
-        return core.isalpha() and (core.isascii() or max(core) < "\u0250")
+    def _word(self, piece: str, lead: str) -> bytes | None:
+        """Ids of lead, letters that every Unicode version knows, and marks; None for other pieces.
 
-    def _after_space(self, pieces: list[str]) -> list[bytes]:
-        """Ids of " " + piece; empty where white space at a border makes it no piece of its own.
-
-        A line end between other characters is a piece too, and what follows it begins without a space.
+        The letters with their lead are one piece to the tokenizer, so its model sees them whole.
         """
-        lines = [p.split("\n") if "\n" in p else None for p in pieces]
-        plain = [c is None or len(c) == 2 and bool(c[0]) and bool(c[1]) and not any(map(str.isspace, p[: len(c[0])] + c[1])) for p, c in zip(pieces, lines, strict=True)]
-        heads = [p if c is None else c[0] for p, c, x in zip(pieces, lines, plain, strict=True) if x]
-        cores = [p.rstrip(MARKS) for p in heads]
-        simple = [self._letters(c) for c in cores]
-        words = iter(self.cores.get([c for c, s in zip(cores, simple, strict=True) if s]))
-        tails = iter(self.marks.get([p[len(c) :] for p, c, s in zip(heads, cores, simple, strict=True) if s]))
-        rest = [p for p, s in zip(heads, simple, strict=True) if not s]
-        whole = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in rest]
-        ids = iter(self._direct([" " + p for p, w in zip(rest, whole, strict=True) if w]))
-        other = iter([next(ids) if w else b"" for w in whole])
-        begun = iter([next(words) + next(tails) if s else next(other) for s in simple])
-        after = iter(self.firsts.get([c[1] for c, x in zip(lines, plain, strict=True) if x and c]))
-        odd = [p for p, x in zip(pieces, plain, strict=True) if not x]
-        whole = [not p[0].isspace() and not p[-1].isspace() for p in odd]
-        ids = iter(self._direct([" " + p for p, w in zip(odd, whole, strict=True) if w]))
-        strange = iter([next(ids) if w else b"" for w in whole])
-        return [next(strange) if not x else next(begun) if c is None else next(begun) + self.line + next(after) for x, c in zip(plain, lines, strict=True)]
-
-    def _at_start(self, pieces: list[str]) -> list[bytes]:
-        """Ids of a text's first piece, or a line's; empty where it is none."""
-        cores = [p.rstrip(MARKS) for p in pieces]
-        simple = [self._letters(c) for c in cores]
-        words = iter(self._words([c for c, s in zip(cores, simple, strict=True) if s], ""))
-        tails = iter(self.marks.get([p[len(c) :] for p, c, s in zip(pieces, cores, simple, strict=True) if s]))
-        rest = [p for p, s in zip(pieces, simple, strict=True) if not s]
-        whole = [bool(p) and not p[-1].isspace() for p in rest]
-        ids = iter(self._direct([p for p, w in zip(rest, whole, strict=True) if w]))
-        other = iter([next(ids) if w else b"" for w in whole])
-        return [next(words) + next(tails) if s else next(other) for s in simple]
+        core = piece.rstrip(MARKS)
+        if core.isascii():
+            if not core.isalpha():
+                return None
+            shown = core
+        elif core.isalpha() and max(core) < "\u0250":
+            shown = core.encode().decode("latin-1").translate(self.show)
+        else:
+            return None
+        ids = array(self.kind, [t.id for t in self.tok.model.tokenize(lead + shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        if len(core) == len(piece):
+            return ids.tobytes()
+        tail = piece[len(core) :]
+        if tail not in self.marks:
+            if len(self.marks) > CACHE_PIECES:
+                self.marks.clear()
+            self.marks[tail] = self._direct([tail])[0]
+        return ids.tobytes() + self.marks[tail]
+
+    def _learned(self, pieces: list[str], lead: str, space: str) -> list[bytes]:
+        """Ids of space + piece; empty where white space at a border makes it no piece of its own.
+
+        A line end between two words is a piece too, and the second word begins without a space.
+        """
+        out = [self._word(p, lead) for p in pieces]
+        rest = []
+        for i, x in enumerate(out):
+            if x is None:
+                p = pieces[i]
+                head, line, tail = p.partition("\n")
+                begun, after = (self._word(head, lead), self._word(tail, "")) if line and tail else (None, None)
+                if begun is not None and after is not None:
+                    out[i] = begun + self.line + after
+                elif p and not (space and p[0].isspace()) and not p[-1].isspace():
+                    rest.append(i)
+                else:
+                    out[i] = b""
+        for i, x in zip(rest, self._direct([space + pieces[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def _whole(self, text: str) -> bytes:
         """A text with runs of white space: cut only at single spaces between other characters."""
