@@ -6,8 +6,8 @@ were seen in that script. Viterbi decoding over the words, with a penalty for ev
 labels spans; the document's language is the one whose spans hold the most letters, its score their
 share of all letters.
 
-Training takes at most about `PER_LANGUAGE` documents of each language, chosen by a hash of the text: a
-bound that is a parameter. Everything else covers all words of all documents.
+Training takes at most about `PER_LANGUAGE` documents of each language, chosen by a hash of
+their keys: a bound that is a parameter. Everything else covers all words of all documents.
 
 Edge cases: null text and text without a letter give `und` with score 0 and no spans; words of a script
 that no language was trained on carry no evidence; ties go to the language first by code point; without
@@ -133,11 +133,15 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def train(docs: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE) -> Model:
-    """Letter trigram and script counts of about per_language documents of each language."""
-    docs = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
+def train(docs: DataFrame, text: str, lang: str, key: str | None = None, per_language: int = PER_LANGUAGE) -> Model:
+    """Letter trigram and script counts of about per_language documents of each language.
+
+    They are drawn by a hash of `key`; without one by a hash of the text, which draws copies together.
+    """
+    docs = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key or text).alias("draw"))
+    docs = docs.filter("text is not null and lang is not null")
     sizes = docs.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod("draw", F.lit(1_000_000)) / 1_000_000
     sample = docs.join(F.broadcast(sizes), "lang").filter(draw < F.col("share")).select("lang", "text")  # a row per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

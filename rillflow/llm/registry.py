@@ -36,7 +36,7 @@ def _remainder(key: str, n: int):
 
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from text and lang of the documents that aren't held out."""
-    return langid.train(docs.filter(_remainder("doc_id", 5) != 0), "text", "lang")
+    return langid.train(docs.filter(_remainder("doc_id", 5) != 0), "text", "lang", "doc_id")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
