@@ -279,7 +279,7 @@ def components(edges: DataFrame, at: str) -> DataFrame:
 CELLED = "center long, i int, j int, side int, doc long, root long"
 
 
-def _cells(family: DataFrame, comps: DataFrame) -> DataFrame:
+def _cells(family: DataFrame, comps: DataFrame, at: str) -> DataFrame:
     """Rows of CELLED: what is still to compare in families that lie in several components.
 
     family: doc, center. Outside the center's component stand the rows of side 0, cut into `rows` parts,
@@ -289,12 +289,14 @@ def _cells(family: DataFrame, comps: DataFrame) -> DataFrame:
     label = lambda c, to: comps.select(F.col("node").alias(c), F.col("root").alias(to))
     known = family.join(label("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     known = known.join(label("center", "main"), "center", "left").withColumn("main", F.coalesce("main", "center"))
+    known = stored(known, f"{at}/known")  # so that what follows isn't bound to a center's one partition
     outside = F.col("root") != F.col("main")
     open_ = known.groupBy("center").agg(F.count(F.when(outside, 1)).alias("out"), F.count("*").alias("all")).filter("out > 0 and all > 1")
     open_ = open_.select("center", F.ceil(F.col("out") / CELL).cast("int").alias("rows"), F.ceil(F.col("all") / CELL).cast("int").alias("cols"))
     part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = known.join(open_, "center")
+    open_ = stored(open_, f"{at}/open")
+    own = known.join(F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_, "center")
     left = own.filter(outside).select("center", part("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("side"), "doc", "root")
     right = own.select("center", every("rows").alias("i"), part("cols").alias("j"), F.lit(1).alias("side"), "doc", "root")
     return left.unionByName(right)
@@ -398,7 +400,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = links.unionByName(stored(confirmed(rest, sets), f"{at}/links2"))
     comps = components(links, f"{at}/cc2")
 
-    active = stored(_active(_cells(family, comps), reps), f"{at}/active")
+    active = stored(_active(_cells(family, comps, at), reps), f"{at}/active")
     new = stored(active.select("doc").distinct().join(sets.select("doc"), "doc", "left_anti"), f"{at}/ids3")
     more = sets.unionByName(stored(full_sets(docs, new), f"{at}/sets3"))
     last = stored(_cell_links(active, more), f"{at}/links3")
