@@ -7,9 +7,9 @@ A joined pair fixes an alignment of document and item; comparing the words along
 and confirms every window on the words themselves. Items of fewer than 13 words are one window: for
 each length that occurs, all grams of that length are joined (winnowing with w = 1).
 
-The document side is exploded and joined, never collected. The test side is broadcast while its
-fingerprints number at most `BROADCAST_ROWS` (counted first); beyond that the joins shuffle and
-adaptive execution splits hot fingerprints.
+The document side is exploded and joined, never collected. The test side, and the alignments to compare,
+are broadcast while they number at most `BROADCAST_ROWS` (counted first); beyond that the joins shuffle
+and adaptive execution splits hot fingerprints.
 
 Edge cases: null or wordless texts have no words, no hits and are not contaminated; null or wordless
 items have no windows; repeated documents are judged one by one; items of equal words count as many
@@ -94,12 +94,12 @@ def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, item_i
         own = fingerprints(doc_words, ["k_", "t_"], "w_", gram, w)
         hits = own.join(_small(marks.filter(F.col("plan") == (n or 0)), small), "fp").select("k_", "t_", "ik", "n", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits if found is None else found.unionByName(hits)
-    found = found.distinct()
+    found = stored(found.distinct(), shared_dir(docs.sparkSession))
+    few = found.count() <= BROADCAST_ROWS  # then the texts stay where they are
 
     texts = keyed.alias("d")
     placed = (
-        found.alias("f")
-        .join(texts, F.col("f.k_").eqNullSafe(F.col("d.k_")) & (F.col("f.t_") == F.col("d.t_")))
+        texts.join(_small(found, few).alias("f"), F.col("f.k_").eqNullSafe(F.col("d.k_")) & (F.col("f.t_") == F.col("d.t_")))
         .select("f.k_", "f.t_", "ik", "shift", text_words(F.col("x_")).alias("w_"), "n")
         .select("k_", "t_", "ik", "shift", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("w_", j + F.col("shift"))).alias("seg"))
     )
