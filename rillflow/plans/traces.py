@@ -10,6 +10,7 @@ from rillflow.operators import running, stateless, windows
 from rillflow.sources import tables as S
 
 PAD = "0Round0"
+NUDGE = 1e-6
 
 
 def routed(trips: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def trend(events: DataFrame) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Rounded for comparison; values half-way between two results are nudged up, since engines sum in other orders."""
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, digits) for c in columns})
 
 
 QUERIES = {
@@ -114,7 +116,7 @@ QUERIES = {
     "borg_busy_machine_by_event": lambda s, d: recent_medians(S.task_events(s, d), ["job_id", "event_type"], ["cpu", "ram", "disk"], 4, wide=True),
     "twitch_retention": lambda s, d: _rounded(retention(S.viewer_events(s, d)), 3, "score").drop("ts"),
     "twitch_loyalty": lambda s, d: _rounded(loyalty(S.viewer_events(s, d)), 4, "loyalty").drop("ts"),
-    "twitch_trend": lambda s, d: _rounded(trend(S.viewer_events(s, d)), 3, "avg_loyalty", "avg_trend"),
+    "twitch_trend": lambda s, d: _rounded(trend(S.viewer_events(s, d)), 4, "avg_loyalty", "avg_trend"),
 }
 
 _TRIPS = """SELECT l_orderkey AS trip_order, l_linenumber AS trip_line, l_returnflag AS vendor, l_shipdate AS dropoff_ts, l_quantity::BIGINT * 60 AS trip_time_secs,
@@ -149,7 +151,7 @@ _RETENTION = """SELECT user_id AS streamer_id, 's' || user_id AS streamer_name,
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
 _LOYALTY = f"""SELECT streamer_id, streamer_name, event_id, ts, (sum(score) OVER w * 0.4::DOUBLE + sum(dt) OVER w * 0.3::DOUBLE + count(*) OVER w * 0.3::DOUBLE) / 100 AS loyalty
     FROM (SELECT * FROM ({_RETENTION}) WHERE dt IS NOT NULL) WINDOW w AS (PARTITION BY streamer_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
-_TREND = f"""SELECT streamer_name, event_id, round(avg(loyalty) OVER w, 3) AS avg_loyalty, round(avg(smooth) OVER w, 3) AS avg_trend, count(*) OVER w AS n FROM (
+_TREND = f"""SELECT streamer_name, event_id, round(avg(loyalty) OVER w + 1e-6::DOUBLE, 4) AS avg_loyalty, round(avg(smooth) OVER w + 1e-6::DOUBLE, 4) AS avg_trend, count(*) OVER w AS n FROM (
     SELECT *, list_reduce(list_prepend(0.0::DOUBLE, list(step) OVER w), lambda s, x: s * 0.7::DOUBLE + x * 0.3::DOUBLE) AS smooth FROM (
         SELECT *, loyalty - coalesce(lag(loyalty) OVER (PARTITION BY streamer_name ORDER BY ts, event_id), 0) AS step FROM ({_LOYALTY}))
     WINDOW w AS (PARTITION BY streamer_name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
@@ -163,8 +165,8 @@ ORACLES = {
     "azure_cpu_readings": _recent(_CPU, "vm_id", ["min_cpu", "max_cpu", "avg_cpu"], 8),
     "borg_busy_machine": _recent(_TASKS, "job_id, task_index", ["cpu", "ram", "disk"], 10),
     "borg_busy_machine_by_event": _recent(_TASKS, "job_id, event_type", ["cpu", "ram", "disk"], 4, wide=True),
-    "twitch_retention": f"SELECT streamer_id, streamer_name, event_id, dt, round(score, 3) AS score FROM ({_RETENTION}) WHERE dt IS NOT NULL",
-    "twitch_loyalty": f"SELECT streamer_id, streamer_name, event_id, round(loyalty, 4) AS loyalty FROM ({_LOYALTY})",
+    "twitch_retention": f"SELECT streamer_id, streamer_name, event_id, dt, round(score + 1e-6::DOUBLE, 3) AS score FROM ({_RETENTION}) WHERE dt IS NOT NULL",
+    "twitch_loyalty": f"SELECT streamer_id, streamer_name, event_id, round(loyalty + 1e-6::DOUBLE, 4) AS loyalty FROM ({_LOYALTY})",
     "twitch_trend": _TREND,
 }
 #: Filling state ahead of time changes no result.
