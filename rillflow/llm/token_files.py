@@ -38,9 +38,9 @@ SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
 FILE_BYTES = (16 << 20, 512 << 20)
 #: Pieces of text in a generation of a worker's memory; two generations are kept, what is used moves to the younger.
-CACHE_PIECES = 60_000
+CACHE_PIECES = 50_000
 DOCS_AT_ONCE = 4096
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 #: Marks that follow a word without a space; cut off so that a word is learned once.
 MARKS = ".,;:!?%$&*#|"
 
