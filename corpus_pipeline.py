@@ -36,7 +36,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes its words, to the nearest whole time."""
+    """Every document as often as the mix takes its words, to the nearest whole time; all but one of a source are taken whole."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     small = docs.select("doc_id", "source", "text", mark.alias("mark"))
     taken = registry.mix_documents(spark, small, "mark").groupBy("doc_id", "mark").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))

@@ -3,7 +3,7 @@
 Targets come from weights, no source above `max_repeats` times its own size. The mix is cut into
 blocks of equal token counts; the blocks are seats, dealt to sources by the highest quotients
 target / (2j - 1). Seat numbers also cut the mix into output shards, each with integer quotas. The
-quotas then pick blocks of the source's documents in a seeded order.
+quotas then take the first blocks of the source's documents in a seeded order.
 
 No seat is enumerated: the seats that every divisor near the right one gives are counted, and only
 about two per source around the boundary are ranked. Documents get their token offset within a
@@ -25,8 +25,6 @@ MAX_REPEATS = 3
 BLOCK_TOKENS = 1024
 BLOCKS_PER_SOURCE = 1000
 SLICES = 512
-#: A prime above any number of blocks of one source, for the seeded order of blocks.
-PRIME = 2147483647
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
@@ -126,9 +124,9 @@ def quotas(targeted: DataFrame, plan: tuple[int, int], max_repeats: int = MAX_RE
 def mix(sized: DataFrame, key: str, quota: DataFrame, seed: int = 17) -> DataFrame:
     """Adds source_size, target and taken to every document.
 
-    A source's documents stand in a seeded order; the last, partial pass takes the blocks b with
-    (a*b + c) mod PRIME-reduced order below `chosen`: a bijection of the source's blocks, so exactly
-    `chosen` blocks are taken without sorting blocks.
+    A source's documents stand in a seeded order; the last, partial pass takes the first `chosen` blocks
+    of it. So of every source all documents but one are taken a whole number of times, and `taken`
+    rounded to whole documents misses the source's quota by no more than half of that one.
     """
     mixed = F.xxhash64(F.lit(seed), F.col(key), F.col("size"))
     placed = sized.withColumn("h", mixed).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
@@ -138,23 +136,14 @@ def mix(sized: DataFrame, key: str, quota: DataFrame, seed: int = 17) -> DataFra
         F.col("source").alias("s_"), F.col("slice").alias("k_"), (F.sum("slice_size").over(ahead) - F.col("slice_size")).alias("slice_at")
     )
     inner = Window.partitionBy("source", "slice").orderBy("h", F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
-    q = quota.select(F.col("source").alias("q_"), "source_size", "target", "passes", "chosen", "block", "place")
+    q = quota.select(F.col("source").alias("q_"), "source_size", "target", "passes", "chosen", "block")
     at = (
         placed.withColumn("ends", F.sum("size").over(inner))
         .join(starts, F.col("source").eqNullSafe(F.col("s_")) & (F.col("slice") == F.col("k_")))
         .join(q, F.col("source").eqNullSafe(F.col("q_")))
         .withColumn("begin", F.col("slice_at") + F.col("ends") - F.col("size"))
     )
-    n_blocks = F.ceil(F.col("source_size") / F.col("block"))
-    a, c = F.pmod(F.lit(PRIME), F.greatest(n_blocks, F.lit(1))), F.pmod(F.xxhash64(F.lit(seed), F.col("place")), F.greatest(n_blocks, F.lit(1)))
-    block, begin, end = F.col("block"), F.col("begin"), F.col("begin") + F.col("size")
-    picked = lambda b: F.pmod(a * b + c, n_blocks) < F.col("chosen")
-    overlap = lambda b: F.least(end, (b + 1) * block) - F.greatest(begin, b * block)
-    first, last = F.floor(begin / block), F.floor((end - 1) / block)
-    part = F.aggregate(
-        F.sequence(first, last), F.lit(0).cast("long"), lambda s, b: s + F.when(picked(b), overlap(b)).otherwise(F.lit(0).cast("long"))
-    )
-    part = F.when((F.col("size") > 0) & (F.col("chosen") > 0), part).otherwise(F.lit(0).cast("long"))
+    part = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("chosen") * F.col("block")) - F.col("begin"))
     return at.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long")).drop(
-        "h", "slice", "ends", "s_", "k_", "slice_at", "q_", "passes", "chosen", "block", "place", "begin"
+        "h", "slice", "ends", "s_", "k_", "slice_at", "q_", "passes", "chosen", "block", "begin"
     )

@@ -4,6 +4,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rillflow.llm import mixing, sharding
 from rillflow.llm.registry import mix_documents
 
@@ -103,3 +104,18 @@ def test_quotas_of_output_shards_add_up(spark):
     assert sum(per.values()) == 1007 and max(per.values()) - min(per.values()) <= 1
     assert [sum(r.blocks for r in rows if r.place == i) for i in range(4)] == divisor([500, 300, 200, 7], 1007)
     assert df.filter(F.lit(False)).count() == 0
+
+
+def test_stage_takes_whole_documents_up_to_each_target(spark):
+    rng = random.Random(4)
+    rows = [(k * 1000 + i, f"s{k}", "w " * rng.randrange(20, 1500)) for k in range(7) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    size = {i: len(t.split()) for i, _, t in rows}
+    own, target, most = Counter(), {}, Counter()
+    for r in mix_documents(spark, df).collect():
+        target[r.source], most[r.source] = r.target, max(most[r.source], r.size)
+    for r in corpus_pipeline.mix(spark, df, "").collect():
+        own[r.source] += size[r.doc_id]
+    block = min(1024, sum(size.values()) // (7 * mixing.BLOCKS_PER_SOURCE))
+    assert {s for s in target if target[s] < 0.5 * sum(size[i] for i, x, _ in rows if x == s)}
+    assert all(abs(own[s] - target[s]) <= most[s] / 2 + 2 * block for s in target), {s: own[s] / target[s] for s in target}
