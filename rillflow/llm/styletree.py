@@ -9,7 +9,8 @@ presentation (which children it has). Branches of low importance are removed fro
 that say themselves what they are (nav, footer, forms, scripts, adverts, comments and so on) go first.
 
 The element that holds the article is looked for next; inside it whole paragraphs are never removed, and
-no branch with most of the article's text, so that an article that many pages repeat stays whole.
+no branch with most of the article's text. Pages of the same article text count as one page of the tree: a
+text is repeated only where the rest differs, so that an article that many pages repeat stays whole.
 
 Counts are partial sums by (host, style node, text), so a host with a third of all pages is no single
 task; what goes back to the pages is each host's list of repeated blocks, broadcast while small.
@@ -214,6 +215,8 @@ def _article(root: Node) -> Node | None:
                     found.append(y)
                 stack.append(y)
     articles = [x for x in found if x.tag == "article"] or found
+    if len(articles) < 2:
+        return articles[0] if articles else None
     return max(articles, key=lambda x: sum(len(t) for t, *_ in Blocks().walk(x, False).found), default=None)
 
 
@@ -274,11 +277,14 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-STYLE = T.StructType([T.StructField("host", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("style", T.LongType()), T.StructField("value", T.LongType()), T.StructField("path", T.StringType())])
+STYLE = T.StructType([T.StructField("host", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("style", T.LongType()), T.StructField("value", T.LongType()), T.StructField("path", T.StringType()), T.StructField("story", T.LongType())])
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """The merged tree: host, kind (0 texts, 1 presentations), style, value, path, k (pages). pages: host, html."""
+    """The merged tree: host, kind (0 texts, 1 presentations, 2 pages), style, value, path, story, k (pages). pages: host, html.
+
+    story: a hash of the article's text for kinds 0 and 2, null on pages without one. Other articles of a page say
+    nothing about the texts of their own pages and aren't counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,16 +292,21 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 rows: dict[tuple, int] = {}
                 for h, page in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512), strict=True):
                     root = parse(page.as_py() or "")
-                    own = {(h, 0, _key(path, ""), _key(path, text), None) for text, path, _ in Blocks().walk(root, False).found}
-                    own |= {(h, 1, _key(path, ""), _key("", look), path) for path, look in _looks(root)}
+                    top, found = _article(root), Blocks().walk(root, False).found
+                    story = "\n".join(text for text, _, above in found if top in above) if top else ""
+                    story = _key("", story) if story else None
+                    counted = [x for x in found if top in x[2] or not any(n.tag == "article" for n in x[2])]
+                    own = {(h, 0, _key(path, ""), _key(path, text), None, story) for text, path, _ in counted}
+                    own |= {(h, 1, _key(path, ""), _key("", look), path, None) for path, look in _looks(root)}
+                    own.add((h, 2, 0, 0, None, story))
                     for r in own:
                         rows[r] = rows.get(r, 0) + 1
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(rows.values()), pa.int64())], names=[*STYLE.names, "k"])
 
     partial = pages.select("host", "html").mapInArrow(tidied(run), T.StructType([*STYLE.fields, T.StructField("k", T.LongType())]))
-    return partial.groupBy("host", "kind", "style", "value", "path").agg(F.sum("k").alias("k"))
+    return partial.groupBy(*STYLE.names).agg(F.sum("k").alias("k"))
 
 
 def unimportant(counts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -303,8 +314,10 @@ def unimportant(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 
     counts: style_counts(); sizes: host, pages."""
     big = sizes.filter(F.col("pages") >= MIN_PAGES)
-    texts = counts.filter("kind = 0 and k > 1").join(big, "host")
-    again = texts.filter(1 - F.log(F.col("k").cast("double")) / F.log(F.col("pages").cast("double")) < THRESHOLD).groupBy("host").agg(F.collect_set("value").alias("blocks"))
+    apart = F.sum(F.when(F.col("story").isNull(), F.col("k")).otherwise(1))  # pages of one story count once
+    stories = counts.filter("kind = 2").groupBy("host").agg(apart.alias("stories"))
+    texts = counts.filter("kind = 0").groupBy("host", "style", "value").agg(apart.alias("k")).filter("k > 1").join(big.join(stories, "host"), "host")
+    again = texts.filter(1 - F.log(F.col("k").cast("double")) / F.log(F.col("stories").cast("double")) < THRESHOLD).groupBy("host").agg(F.collect_set("value").alias("blocks"))
     looks = counts.filter("kind = 1").groupBy("host", "style").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("kl"), F.first("path").alias("path"))
     m = F.col("m").cast("double")
     entropy = F.when(F.col("m") > 1, (F.log(m) - F.col("kl") / m) / F.log(m)).otherwise(1.0)

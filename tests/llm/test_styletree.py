@@ -51,3 +51,20 @@ def test_articles_that_many_pages_repeat_stay_whole(spark):
     got = S.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()
     assert {(r.page_id < 30, r.text) for r in got} == {(True, "Same\nThe same story."), (False, "The same story.")}
     assert S.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), "url", "html").count() == 0
+
+
+def test_copied_articles_keep_lists_tables_and_sections(spark):
+    def page(story, extra=""):
+        return f"<body><article><h1>{story}</h1><p>{f'All about {story} at length. ' * 9}</p>{extra}<div class='tail'><p>Read more on our site</p></div></article></body>"
+
+    own = "<ul><li>a<li>b</ul><ol><li>c</ol><table><tr><td>d<td>e</table><section><p>f</p></section><dl><dt>g<dd>h</dl><div><p>i</p></div>"
+    rows = []
+    for host, copies, n in (("x", 3, 5), ("y", 4, 10), ("z", 64, 1000)):
+        for i in range(n):
+            rows.append((len(rows), f"http://{host}.example/{i}", page("copy", own) if i < copies else page(f"story {host}{i}")))
+    got = S.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()
+    body = lambda t: f"{t}\n{('All about ' + t + ' at length. ') * 9}".strip()
+    for r in got:
+        copy = "about copy at" in r.html
+        assert not copy or r.text == body("copy") + "\n" + "\n".join("abcdefghi")
+        assert "Read more" not in r.text
