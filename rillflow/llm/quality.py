@@ -140,11 +140,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPLE) -> Model:
-    """labelled: text and 0/1 columns `labels`, none null."""
+    """labelled: text and 0/1 columns `labels`; a null says nothing of its label only."""
     n = labelled.count()
     draw = F.pmod(F.xxhash64(text), F.lit(1_000_000)) / 1_000_000
     some = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).cast("int").alias(c) for c in labels]).filter(draw < (sample / n if n > sample else 1.1))
-    fields = ", ".join(f"n_{c} long" for c in labels)
+    sums = [f"{k}_{c}" for c in labels for k in ("m", "n")]  # documents with the label known, and with it set
+    fields = ", ".join(f"{c} long" for c in sums)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -153,21 +154,23 @@ def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPL
                 held: dict[str, list[int]] = {}
                 for words, *y in zip(split.to_pylist(), *(b.column(1 + i).to_pylist() for i in range(len(labels))), strict=True):
                     for w in {f for w in words for f in forms(w)}:
-                        k = held.setdefault(w, [0] * (1 + len(labels)))
-                        k[0] += 1
+                        k = held.setdefault(w, [0] * len(sums))
                         for i, v in enumerate(y):
-                            k[1 + i] += v
-                cols = list(zip(*held.values(), strict=True)) or [()] * (1 + len(labels))
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["word", "n", *[f"n_{c}" for c in labels]])
-
-    counts = some.mapInArrow(tidied(count, "_rillflow_kinds"), f"word string, n long, {fields}").groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *[f"n_{c}" for c in labels]]])
-    total = some.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in labels]).first()
+                            if v is not None:
+                                k[2 * i] += 1
+                                k[2 * i + 1] += v
+                cols = list(zip(*held.values(), strict=True)) or [()] * len(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["word", *sums])
+
+    counts = some.mapInArrow(tidied(count, "_rillflow_kinds"), f"word string, {fields}").groupBy("word").agg(*[F.sum(c).alias(c) for c in sums])
+    total = some.agg(*[F.count(c).alias(f"m_{c}") for c in labels], *[F.sum(c).alias(c) for c in labels]).first()
     z = []
     for c in labels:
-        p = (total[c] or 0) / max(1, total["n"])
-        z.append(F.abs(F.col(f"n_{c}") - p * F.col("n")) / F.sqrt(p * (1 - p) * F.col("n") + 1e-9))
+        p = (total[c] or 0) / max(1, total[f"m_{c}"])
+        m = F.col(f"m_{c}")
+        z.append(F.when(m >= MIN_DOCS, F.abs(F.col(f"n_{c}") - p * m) / F.sqrt(p * (1 - p) * m + 1e-9)))
     best = F.greatest(*z) if len(z) > 1 else z[0]
-    telling = counts.filter(F.col("n") >= MIN_DOCS).select("word", best.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "word").limit(WORDS)  # the classifier's features
+    telling = counts.select("word", best.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "word").limit(WORDS)  # the classifier's features
     chosen = {r["word"]: i for i, r in enumerate(telling.collect())}
     model = Model(chosen, np.zeros(len(SHAPE)), np.ones(len(SHAPE)), {})
 
@@ -184,9 +187,12 @@ def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPL
         shape = x[:, 1 : 1 + len(SHAPE)]
         model.mean, model.scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-3)
         x[:, 1 : 1 + len(SHAPE)] = np.clip((shape - model.mean) / model.scale, -6, 6)
-        model.weights = {c: _logistic(x, got[c].to_numpy(np.float64)) for c in labels}
-    else:
-        model.weights = {c: np.zeros(1 + len(SHAPE) + len(chosen)) for c in labels}
+    model.weights = {c: np.zeros(1 + len(SHAPE) + len(chosen)) for c in labels}
+    for c in labels:
+        y = got[c].to_numpy(np.float64, na_value=np.nan)
+        known = ~np.isnan(y)
+        if known.any():
+            model.weights[c] = _logistic(x[known], y[known])
     return model
 
 

@@ -100,7 +100,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = ["quality", "toxic"]
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(*[F.max(c).alias(f"{c}_known") for c in labels])
-    known = stored(known.dropna(), shared_dir(spark))
+    known = stored(known.dropna("all", subset=[f"{c}_known" for c in labels]), shared_dir(spark))
     share = quality.SAMPLE / max(1, known.count())
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share)  # about SAMPLE rows: broadcast
     labelled = docs.join(F.broadcast(drawn), "doc_id").select("text", *[F.col(f"{c}_known").alias(c) for c in labels])

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from rillflow.llm import quality as Q
+from rillflow.llm import registry
 
 
 def docs(spark, n=900):
@@ -48,3 +49,14 @@ def test_defined_cases(spark):
     one = Q.train(df.filter("toxic = 0"), "text", ["toxic"])
     assert all(r.p_toxic < 0.5 for r in Q.classify(odd, "text", one).collect())
     assert Q.classify(odd.limit(0), "text", model).count() == 0
+
+
+def test_one_label_without_the_other_counts(spark, tmp_path):
+    df = docs(spark, 600)
+    df.select("doc_id", "text", F.lit("en").alias("lang"), F.col("host").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    known = df.filter("doc_id % 3 > 0").select("doc_id", F.lit(None).cast("int").alias("quality"), "toxic")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    toxic = {r.doc_id: r.toxic for r in df.collect()}
+    got = registry.op9_quality(spark, str(tmp_path)).collect()
+    assert len(got) == 600 and all(abs(r.p_quality - 0.5) < 1e-9 for r in got)
+    assert sum((r.p_toxic >= 0.5) == (toxic[r.doc_id] == 1) for r in got) >= 0.9 * len(got)
