@@ -78,9 +78,9 @@ def tokenizer_path() -> str:
 def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Writes the token files of documents (doc_id, text) and reads them back: a row per document."""
     at = shared_dir(spark)
-    bounds = token_files.ranges(docs, "doc_id", "text", spark.sparkContext.defaultParallelism)
-    tokens = token_files.encoded(docs, "doc_id", "text", tokenizer_path(), 0, bounds)
-    index = stored(token_files.write_files(tokens, f"{at}/tokens", len(bounds) + 1, wide=False), f"{at}/index")
+    how, cuts = token_files.form(tokenizer_path()), token_files.cuts(docs, "doc_id", "text", spark.sparkContext.defaultParallelism)
+    tokens = token_files.encoded(docs, "doc_id", "text", tokenizer_path, 0, cuts, how)
+    index = stored(token_files.write_files(tokens, f"{at}/tokens", len(cuts) + 1, how.wide), f"{at}/index")
     read = token_files.read_back(index, f"{at}/tokens").join(F.broadcast(token_files.starts(index)), "part")  # a row per file
     return read.select(F.col("key").alias("doc_id"), (F.col("ahead") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", "part")
 
