@@ -1,34 +1,42 @@
 """Main text of web pages by a site style tree.
 
-The pages of one host are merged by style: a style node is the path of tags and classes from the body.
-For every text block of a style node the tree counts on how many of the host's pages with that node the
-same text stands. With m pages and a text on k of them, the text's distribution has entropy log k / log m,
-and the block's importance is one minus that: 1 for a text of one page, 0 for one that is on every page.
-A branch's importance is that of its blocks, weighted by length, in equal parts with the entropy of its
-presentation (which children it has). Branches of low importance are removed from each page. Elements
-that say themselves what they are (nav, footer, forms, scripts, adverts, comments and so on) go first.
-
-The element that holds the article is looked for next; inside it whole paragraphs are never removed, and
-no branch with most of the article's text. Pages of the same article text count as one page of the tree: a
-text is repeated only where the rest differs, so that an article that many pages repeat stays whole.
-
-Counts are partial sums by (host, style node, text), so a host with a third of all pages is no single
-task; what goes back to the pages is each host's list of repeated blocks, broadcast while small.
+The pages of one host are merged by style: a style node is the path of tags and classes from the root. For
+every style node the tree counts its pages m, on how many of them each text stands there, and how many show
+each presentation (the styles of the blocks in it). A text on k pages has importance 1 - log k / log m: 1 for
+a text of one page, 0 for one on every page. A node's presentation importance is the entropy of its
+presentations over log m. A branch has the importance of its texts, weighted by length, and of its
+presentation: g^l and 1 - g^l for l presentations (g = 0.9). Branches of low importance are removed from each
+page. m counts `SPARSE` pages more than there are, which shrinks what few pages say towards "important", so
+that hosts of any size are treated alike.
+
+Some elements say themselves what they are and have no importance whatever they hold: menus, footers, forms,
+scripts and so on by tag or role, adverts, notices, comments and so on by a whole class or id name; page heads
+count only inside an article or main. What is
+left is searched for the article: its `article` elements, or `main`, or the page. Inside an article or main
+only containers may be of low importance, and none with most of the text. Pages of the same article text count
+as one page of the tree, so that an article that many pages repeat stays whole.
+
+Counts are partial sums by (style node, text), so a host with a third of all pages is no single task and
+nobody gathers a host's list. Texts of importance below `COMMON` stand on more than m^0.4 pages, so a host of
+m pages with b blocks each has at most b m^0.6 of them: the tree is broadcast to workers, once each, up to
+`BROADCAST_KEYS` rows, counted first. A larger one is joined by key, and pages get the rows that they ask for.
 
 Edge cases: null or empty html gives an empty text; broken markup is read as far as it goes (unclosed
-elements end with their parent, an unclosed comment or script ends the page); a null or odd url is a host
-of its own; hosts of fewer than `MIN_PAGES` pages remove nothing by importance; repeated rows are
-extracted one by one. Input columns are kept; `text` and `n_chars` replace columns of that name.
+elements end with their parent, an unclosed comment or script ends the page; elements deeper than `DEPTH`
+count as their ancestor); a null or odd url counts as the host ""; a page of which nothing would stay keeps
+its texts; repeated rows are extracted one by one; an empty table gives no rows. Input columns are kept;
+`text` and `n_chars` replace columns of that name, `h_`, `mark_` and `own_` are taken.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +44,13 @@ from pyspark.sql import types as T
 
 from .common import shared_dir, stored, tidied
 
-MIN_PAGES = 5
 THRESHOLD = 0.4
-BROADCAST_BLOCKS = 1_000_000
+COMMON = 0.6
+GAMMA = 0.9
+SPARSE = 4
+DEPTH = 100
+BROADCAST_KEYS = 1_000_000
+PLAIN, GONE, HEAD, NAMED = range(4)
 
 # Fixed values of the HTML standard and of common page markup.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,46 +60,60 @@ SCOPE = set("article aside body button div footer form header html main nav sect
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 DROP_TAGS = set("head nav footer aside form script style noscript template iframe textarea title svg button select input dialog menu".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-DROP_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "masthead footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
-    "share sharing social comment comments commentlist comment-list respond reply replies disqus related recommended recommendations pagination pager login signup search skip toolbar".split()
+BRANCHES = set("div section ul ol dl table".split())
+# Names of boilerplate: whole class or id names, and nouns that end compound names unless a word of state stands before.
+NAMES = set(
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-unit sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "masthead footer sidebar sidebars widget widgets cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription "
+    "share sharing share-buttons social social-links comment comments commentlist respond replies disqus disqus-thread related recommended recommendations pagination pager login signup search toolbar topbar".split()
 )
-OUTSIDE_WORDS = {"header", "topbar", "banner", "top"}
+NOUNS = set("ad ads advert adverts advertisement nav navbar navigation menu breadcrumb breadcrumbs footer sidebar widget widgets banner cookies consent notice popup modal newsletter comments pagination".split())
+HEADS = set("header site-header page-header main-header banner site-banner top-bar".split())
+STATES = set("no not non has have with without hide hidden show is".split())
 
-TOKEN = re.compile(r"""<!--(?:.*?--!?>|[\s\S]*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*)>""", re.S)
-ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
+TOKEN = re.compile(r"""<!--(?:.*?--!?>|[\s\S]*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^<>])*+)>""", re.S)
+ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)))?""")
 DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "style", "drop", "items", "up")
+    __slots__ = ("tag", "style", "kind", "items", "up", "parent")
+
+    def __init__(self, tag: str, style: str, kind: int, up: Node | None):
+        self.tag, self.style, self.kind, self.items, self.up = tag, style, kind, [], up
+        self.parent = False  # of other blocks
 
-    def __init__(self, tag: str, style: str, drop: int, up: Node | None):
-        self.tag, self.style, self.drop, self.items, self.up = tag, style, drop, [], up
+
+def _named(names: list[str]) -> bool:
+    """Whether a whole name, or the noun a compound name ends with, says that this is boilerplate."""
+    for name in names:
+        if name in NAMES:
+            return True
+        parts = name.split("-")
+        if len(parts) > 1 and parts[-1] in NOUNS and not any(p in STATES for p in parts):
+            return True
+    return False
 
 
 def _kind(tag: str, raw: str) -> tuple[str, int]:
-    """Style of an element, and whether it goes: 1 everywhere, 2 outside the article."""
+    """Style of an element, and what it says of itself."""
     if not raw or raw.isspace():
-        return tag, 1 if tag in DROP_TAGS else 2 if tag == "header" else 0
+        return tag, GONE if tag in DROP_TAGS else HEAD if tag == "header" else PLAIN
     attrs = {}
     for name, a, b, c in ATTR.findall(raw):
         attrs.setdefault(name.lower(), html.unescape(a or b or c))
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    words = set(re.split(r"[\s_-]+", names)) | set(names.split())
-    style = tag + "".join("." + w for w in sorted(set(DIGITS.sub("", attrs.get("class", "").lower()).split())))
+    classes = attrs.get("class", "").lower().replace("_", "-").split()
+    style = tag + "".join("." + w for w in sorted({DIGITS.sub("", c) for c in classes} - {""}))
     hidden = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-    if tag in DROP_TAGS or hidden or attrs.get("role", "").lower() in DROP_ROLES or (tag not in ("html", "body", "article", "main") and words & DROP_WORDS):
-        return style, 1
-    if tag == "article" and words & DROP_WORDS:
-        return style, 1
-    return style, 2 if tag == "header" or (tag not in ("html", "body", "article", "main") and words & OUTSIDE_WORDS) else 0
+    if tag in DROP_TAGS or hidden or attrs.get("role", "").lower() in DROP_ROLES:
+        return style, GONE
+    names = [] if tag in ("html", "body", "main") else [*classes, *attrs.get("id", "").lower().replace("_", "-").split()]
+    return style, NAMED if _named(names) else HEAD if tag == "header" or HEADS & set(names) else PLAIN
 
 
 def parse(page: str) -> Node:
     """The page's tree: nodes, and texts as strings."""
-    root = Node("#root", "", 0, None)
+    root = Node("#root", "", PLAIN, None)
     top, at, size = root, 0, len(page)
     known: dict[tuple[str, str], tuple[str, int]] = {}
     while at < size:
@@ -112,7 +138,7 @@ def parse(page: str) -> Node:
             if x is not root:
                 top = x.up
             elif tag == "p":
-                top.items.append(Node("p", "p", 0, top))
+                top.items.append(Node("p", "p", PLAIN, top))
             continue
         raw = m[3]
         if tag in BLOCK and tag != "html" and tag != "body":
@@ -130,8 +156,7 @@ def parse(page: str) -> Node:
         key = (tag, raw)
         if key not in known:
             known[key] = _kind(tag, raw)
-        style, drop = known[key]
-        node = Node(tag, style, drop, top)
+        node = Node(tag, *known[key], top)
         top.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -144,22 +169,25 @@ def parse(page: str) -> Node:
 
 
 class Blocks:
-    """Texts of blocks in page order, each with its style path and the branches above it."""
+    """Texts of blocks in page order, each with its style path and the branches above it; elements that are GONE are left out."""
 
-    def __init__(self):
+    def __init__(self, root: Node):
         self.found: list[tuple[str, str, tuple[Node, ...]]] = []
+        self.paths: dict[int, str] = {id(root): root.style}
+        self.parents: list[Node] = []
         self.parts: list[str] = []
         self.at: tuple[str, tuple[Node, ...]] = ("", ())
+        self._walk(root)
 
-    def flush(self) -> None:
+    def _flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
             self.found.append((text, *self.at))
         self.parts = []
 
-    def walk(self, top: Node, outside: bool, keep=lambda n: True) -> Blocks:
-        """outside: the elements that only go outside the article go too. Depth doesn't use the call stack."""
-        stack = [("in", top, top.style, (top,))]
+    def _walk(self, root: Node) -> None:
+        """Depth doesn't use the call stack."""
+        stack = [("in", root, root.style, (root,))]
         while stack:
             what, x, path, above = stack.pop()
             if what == "text":
@@ -167,109 +195,101 @@ class Blocks:
                     self.at = (path, above)
                 self.parts.append(x)
             elif what == "out":
-                self.flush()
+                self._flush()
             else:
                 if x.tag == "br" or x.tag == "hr":
                     self.parts.append(" ")
-                block = x.tag in BLOCK
-                if block:
-                    self.flush()
+                if x.tag in BLOCK:
+                    self._flush()
                     stack.append(("out", x, path, above))
                 for y in reversed(x.items):
                     if isinstance(y, str):
                         stack.append(("text", y, path, above))
-                    elif not (y.drop == 1 or y.drop == 2 and outside) and keep(y):
-                        own = y.tag in BLOCK
-                        stack.append(("in", y, f"{path}/{y.style}" if own and len(path) < 400 else path, (*above, y) if own and len(above) < 200 else above))
-                    elif y.tag in BLOCK or y.drop:
+                    elif y.kind == GONE:
                         stack.append(("out", y, path, above))
-        self.flush()
-        return self
-
-
-def _key(path: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
-def _looks(top: Node) -> list[tuple[str, str]]:
-    """(style path, presentation: the kinds of children) of the block elements."""
-    out, stack = [], [(top, top.style, 0)]
-    while stack:
-        x, path, depth = stack.pop()
-        inner = [y for y in x.items if not isinstance(y, str) and y.tag in BLOCK and y.drop != 1]
-        if x.tag in BLOCK and x.tag not in ("html",):
-            out.append((path, " ".join(dict.fromkeys(y.style for y in inner))))
-        if depth < 60:
-            stack.extend((y, f"{path}/{y.style}", depth + 1) for y in inner)
-    return out
-
-
-def _article(root: Node) -> Node | None:
-    """The article or main element with the most text, not inside an element that goes."""
-    found, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        for y in x.items:
-            if not isinstance(y, str) and not y.drop == 1:
-                if y.tag == "article" or y.tag == "main":
-                    found.append(y)
-                stack.append(y)
-    articles = [x for x in found if x.tag == "article"] or found
-    if len(articles) < 2:
-        return articles[0] if articles else None
-    return max(articles, key=lambda x: sum(len(t) for t, *_ in Blocks().walk(x, False).found), default=None)
-
-
-def extract(page: str | None, repeated: frozenset[int] | set[int], plain: frozenset[str] | set[str] = frozenset()) -> str:
-    """Main text of a page, given its host's repeated blocks (keys) and style paths of one presentation."""
-    if not page:
-        return ""
-    root = parse(page)
-    top = _article(root)
-    inside = top is not None
-    top = top or root
-    found = Blocks().walk(top, not inside).found
-    if not repeated or not found:
-        return "\n".join(t for t, *_ in found)
-    prefix = _prefix(top)
-    weight: dict[int, list[float]] = {}
-    total = sum(len(t) for t, *_ in found)
-    for text, path, above in found:
-        again = _key(prefix + path, text) in repeated
-        for n in above:
-            w = weight.setdefault(id(n), [0, 0.0])
-            w[0] += len(text)
-            w[1] += 0 if again else len(text)
-
-    def low(n: Node, path: str) -> bool:
-        size, own = weight[id(n)]
-        looks = 0.0 if path in plain else 1.0
-        importance = own / size if own / size < 0.5 and looks == 0 else max(own / size, (own / size + looks) / 2)
-        return importance < THRESHOLD
-
-    kept = []
-    for text, path, above in found:
-        names = path.split("/")
-        gone = False
-        for depth, n in enumerate(above[1:], 1):
-            if inside and (n.tag not in ("div", "section", "ul", "ol", "table", "dl") or weight[id(n)][0] * 2 > total):
-                continue
-            if low(n, prefix + "/".join(names[: depth + 1])):
-                gone = True
-                break
-        if not gone:
-            kept.append(text)
-    return "\n".join(kept or [t for t, *_ in found])
+                    elif y.tag in BLOCK and len(above) < DEPTH:
+                        if not above[-1].parent:
+                            above[-1].parent = True
+                            self.parents.append(above[-1])
+                        self.paths[id(y)] = f"{path}/{y.style}"
+                        stack.append(("in", y, self.paths[id(y)], (*above, y)))
+                    else:
+                        stack.append(("in", y, path, above))
+        self._flush()
+
+
+def _key(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
 
+def _look(n: Node) -> str:
+    """Presentation of an element: the styles of the blocks in it, repeats left out."""
+    return " ".join(dict.fromkeys(y.style for y in n.items if not isinstance(y, str) and y.tag in BLOCK and y.kind != GONE))
 
-def _prefix(top: Node) -> str:
-    """Path above the element the walk began at, so that keys are those of the whole tree."""
-    parts, x = [], top.up
-    while x is not None:
-        if x.tag in BLOCK or x.up is None:
-            parts.append(x.style)
-        x = x.up
-    return "/".join(reversed(parts)) + "/" if parts else ""
+
+def _length(found: list, kept) -> int:
+    return sum(len(t) for t, _, above in found if kept(above))
+
+
+def scope(found: list[tuple[str, str, tuple[Node, ...]]]) -> tuple[str, set[int]]:
+    """What holds the article: ("article" | "main" | "", ids of the nodes; none for the whole page).
+
+    The outermost articles, where they have half of the text of `main`, or a quarter of the page's without
+    one; else `main`. What names itself boilerplate isn't counted.
+    """
+    real = [x for x in found if not any(n.kind == NAMED for n in x[2])]
+    first = lambda above, tag: next((n for n in above if n.tag == tag), None)
+    articles = {id(n) for _, _, above in real if (n := first(above, "article"))}
+    mains = {id(n) for _, _, above in real if (n := first(above, "main"))}
+    within = lambda ids: lambda above: any(id(n) in ids for n in above)
+    around = _length(real, within(mains)) if mains else _length(real, lambda above: not any(n.kind == HEAD for n in above) or any(n.tag == "article" for n in above))
+    if articles and _length(real, within(articles)) * (2 if mains else 4) >= around:
+        return "article", articles
+    return ("main", mains) if mains else ("", set())
+
+
+def extract(page: str | None, host: str = "", texts: Callable[[int], float] = lambda _: 1.0, styles: Callable[[int], tuple[float, float]] = lambda _: (GAMMA, 0.0), evidence: bool = True) -> str:
+    """Main text of a page.
+
+    texts: importance of a text block by its key; styles: by the key of a style node, the weight of what is below
+    it and the importance of its presentation. evidence=False: the tree decides alone, without scope and names.
+    """
+    if not page:
+        return ""
+    blocks = Blocks(parse(page))
+    found = blocks.found
+    kind, top = scope(found) if evidence else ("", set())
+    inside = lambda above: next((i for i, n in enumerate(above) if id(n) in top), None) if top else 0
+    placed = [(text, path, above, begin) for text, path, above in found if (begin := inside(above)) is not None]
+    size: dict[int, int] = {}
+    worth: dict[int, float] = {}
+    total = 0
+    for text, path, above, begin in placed:
+        own = texts(_key(host, path, text)) * len(text)
+        total += len(text)
+        for n in above[begin:]:
+            size[id(n)] = size.get(id(n), 0) + len(text)
+            worth[id(n)] = worth.get(id(n), 0.0) + own
+
+    judged: dict[int, bool] = {}
+
+    def low(n: Node) -> bool:
+        """Importance below the threshold: of what is below, and of the presentation where there are blocks below."""
+        if kind and (n.tag not in BRANCHES or size[id(n)] * 2 > total):
+            return False
+        below = worth[id(n)] / size[id(n)]
+        if n.parent:
+            weight, looks = styles(_key(host, blocks.paths[id(n)]))
+            below = weight * below + (1 - weight) * looks
+        return below < THRESHOLD
+
+    def goes(n: Node) -> bool:
+        if id(n) not in judged:
+            judged[id(n)] = evidence and (n.kind == NAMED or n.kind == HEAD and not kind) or low(n)
+        return judged[id(n)]
+
+    kept = [text for text, _, above, begin in placed if not any(goes(n) for n in above[begin + 1 :])]
+    return "\n".join(kept or [t for t, *_ in placed])
 
 
 def host(url: Column) -> Column:
@@ -277,80 +297,136 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-STYLE = T.StructType([T.StructField("host", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("style", T.LongType()), T.StructField("value", T.LongType()), T.StructField("path", T.StringType()), T.StructField("story", T.LongType())])
+TEXTS, LOOKS, PAGES = range(3)
+STYLE = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("value", T.LongType()), T.StructField("story", T.LongType())])
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """The merged tree: host, kind (0 texts, 1 presentations, 2 pages), style, value, path, story, k (pages). pages: host, html.
+def page_counts(host: str, page: str) -> set[tuple[int, int, int, int | None]]:
+    """Rows of STYLE of one page: its texts, its presentations and its style nodes, each once.
 
-    story: a hash of the article's text for kinds 0 and 2, null on pages without one. Other articles of a page say
-    nothing about the texts of their own pages and aren't counted."""
+    story: a hash of the article's text, null on pages without an article. Articles of a page outside its scope
+    say nothing about the texts of their own pages and aren't counted."""
+    blocks = Blocks(parse(page))
+    kind, top = scope(blocks.found)
+    within = lambda above: any(id(n) in top for n in above)
+    story = _key("\n".join(t for t, _, above in blocks.found if within(above))) if kind == "article" else None
+    rows = set()
+    for text, path, above in blocks.found:
+        if kind != "article" or within(above) or not any(n.tag == "article" for n in above):
+            node = _key(host, path)
+            rows |= {(TEXTS, node, _key(host, path, text), story), (PAGES, node, 0, story)}
+    for n in blocks.parents:
+        node = _key(host, blocks.paths[id(n)])
+        rows |= {(LOOKS, node, _key(_look(n)), story), (PAGES, node, 0, story)}
+    return rows
+
+
+def style_counts(pages: DataFrame) -> DataFrame:
+    """The merged trees of all hosts: kind, node, value, story, k (pages). pages: host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 rows: dict[tuple, int] = {}
                 for h, page in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512), strict=True):
-                    root = parse(page.as_py() or "")
-                    top, found = _article(root), Blocks().walk(root, False).found
-                    story = "\n".join(text for text, _, above in found if top in above) if top else ""
-                    story = _key("", story) if story else None
-                    counted = [x for x in found if top in x[2] or not any(n.tag == "article" for n in x[2])]
-                    own = {(h, 0, _key(path, ""), _key(path, text), None, story) for text, path, _ in counted}
-                    own |= {(h, 1, _key(path, ""), _key("", look), path, None) for path, look in _looks(root)}
-                    own.add((h, 2, 0, 0, None, story))
-                    for r in own:
+                    for r in page_counts(h, page.as_py() or ""):
                         rows[r] = rows.get(r, 0) + 1
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(rows.values()), pa.int64())], names=[*STYLE.names, "k"])
 
     partial = pages.select("host", "html").mapInArrow(tidied(run), T.StructType([*STYLE.fields, T.StructField("k", T.LongType())]))
     return partial.groupBy(*STYLE.names).agg(F.sum("k").alias("k"))
 
 
-def unimportant(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """host, blocks (keys of texts of low importance), plain (style paths of low presentation entropy).
-
-    counts: style_counts(); sizes: host, pages."""
-    big = sizes.filter(F.col("pages") >= MIN_PAGES)
+def importance(counts: DataFrame) -> DataFrame:
+    """key, weight, importance: of texts (weight null) and of the presentations of style nodes, as far as they differ
+    from those of a text that stands once and of a node of one presentation. counts: style_counts()."""
     apart = F.sum(F.when(F.col("story").isNull(), F.col("k")).otherwise(1))  # pages of one story count once
-    stories = counts.filter("kind = 2").groupBy("host").agg(apart.alias("stories"))
-    texts = counts.filter("kind = 0").groupBy("host", "style", "value").agg(apart.alias("k")).filter("k > 1").join(big.join(stories, "host"), "host")
-    again = texts.filter(1 - F.log(F.col("k").cast("double")) / F.log(F.col("stories").cast("double")) < THRESHOLD).groupBy("host").agg(F.collect_set("value").alias("blocks"))
-    looks = counts.filter("kind = 1").groupBy("host", "style").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("kl"), F.first("path").alias("path"))
-    m = F.col("m").cast("double")
-    entropy = F.when(F.col("m") > 1, (F.log(m) - F.col("kl") / m) / F.log(m)).otherwise(1.0)
-    plain = looks.filter(entropy < THRESHOLD).join(big, "host").groupBy("host").agg(F.collect_set("path").alias("plain"))
-    return again.join(plain, "host", "left")
+    sums = counts.groupBy("kind", "node", "value").agg(apart.alias("k"))
+    nodes = sums.filter(F.col("kind") == PAGES).select("node", F.log((F.col("k") + SPARSE).cast("double")).alias("log_m"))
+    k = F.col("k").cast("double")
+    texts = sums.filter((F.col("kind") == TEXTS) & (F.col("k") > 1)).join(nodes, "node")
+    texts = texts.select(F.col("value").alias("key"), F.lit(None).cast("double").alias("weight"), (1 - F.log(k) / F.col("log_m")).alias("importance"))
+    looks = sums.filter(F.col("kind") == LOOKS).groupBy("node").agg(F.count("*").alias("l"), F.sum(k).alias("n"), F.sum(k * F.log(k)).alias("kl"))
+    entropy = F.log("n") - F.col("kl") / F.col("n")
+    looks = looks.filter("l > 1").join(nodes, "node").select(F.col("node").alias("key"), F.pow(F.lit(GAMMA), F.col("l")).alias("weight"), F.least(F.lit(1.0), entropy / F.col("log_m")).alias("importance"))
+    return texts.filter(F.col("importance") < COMMON).unionByName(looks)
+
+
+class Tree:
+    """Importance by key, from the rows of importance()."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.weights, self.values = keys[order], weights[order], values[order]
+
+    def _at(self, key: int) -> int:
+        at = bisect.bisect_left(self.keys, key) if len(self.keys) else 0
+        return at if at < len(self.keys) and self.keys[at] == key else -1
+
+    def text(self, key: int) -> float:
+        at = self._at(key)
+        return 1.0 if at < 0 else float(self.values[at])
+
+    def style(self, key: int) -> tuple[float, float]:
+        at = self._at(key)
+        return (GAMMA, 0.0) if at < 0 else (float(self.weights[at]), float(self.values[at]))
+
+
+def page_keys(host: str, page: str | None) -> list[int]:
+    """Keys of the texts and style nodes of a page that extract() may ask for."""
+    blocks = Blocks(parse(page or ""))
+    return list({_key(host, path, text) for text, path, _ in blocks.found} | {_key(host, blocks.paths[id(n)]) for n in blocks.parents})
+
+
+def _with_own(pages: DataFrame, url: str, page: str, tree: DataFrame) -> DataFrame:
+    """Adds own_: the rows of tree (key, weight, importance) that the page asks for, through joins by key.
+
+    Hot keys are a single row of the tree each, which adaptive execution may send along with every part of the pages' side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                keys = [page_keys(h.as_py(), x.as_py()) for h, x in zip(b.column(1), b.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["mark_", "keys"])
+
+    mark = F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(page), F.lit("")))
+    asked = pages.select(mark.alias("mark_"), host(F.col(url)).alias("host"), F.col(page).alias("html")).mapInArrow(tidied(run), "mark_ long, keys array<long>")
+    hits = asked.select("mark_", F.explode("keys").alias("key")).join(tree, "key").groupBy("mark_").agg(F.collect_set(F.struct("key", "weight", "importance")).alias("own_"))  # a page's own blocks
+    return pages.withColumn("mark_", mark).join(hits, "mark_", "left")
 
 
 def extract_pages(pages: DataFrame, url: str, page: str) -> DataFrame:
     """Adds text and n_chars (code points) to pages."""
-    at = shared_dir(pages.sparkSession)
+    spark, at = pages.sparkSession, shared_dir(pages.sparkSession)
     hosted = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("html"))
     counts = stored(style_counts(hosted), f"{at}/style")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages"))
-    noise = stored(unimportant(counts, sizes), f"{at}/noise")
-    small = (noise.agg(F.sum(F.size("blocks") + F.size(F.coalesce("plain", F.array().cast("array<string>"))))).first()[0] or 0) <= BROADCAST_BLOCKS
+    tree = stored(importance(counts), f"{at}/tree")
     kept = pages.drop("text", "n_chars")
-    joined = kept.withColumn("h_", host(F.col(url))).join((F.broadcast(noise) if small else noise).withColumnRenamed("host", "h_"), "h_", "left")
-    schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-
-    given = kept.columns
+    given, schema = kept.columns, T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    joined = kept.withColumn("h_", host(F.col(url)))
+    shipped = None
+    if tree.count() <= BROADCAST_KEYS:
+        rows = tree.toPandas()
+        shipped = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("key", "weight", "importance")))
+    else:
+        joined = _with_own(joined, url, page, tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, repeated, plain = None, frozenset(), frozenset()
+        whole_tree = Tree(*shipped.value) if shipped else None
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
+                col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
                 texts = []
-                get = {n: b.column(b.schema.get_field_index(n)) for n in ("h_", page, "blocks", "plain")}
-                for h, x, blocks, looks in zip(get["h_"], get[page], get["blocks"], get["plain"], strict=True):
-                    if h.as_py() != name:
-                        name, repeated, plain = h.as_py(), frozenset(blocks.as_py() or ()), frozenset(looks.as_py() or ())
-                    texts.append(extract(x.as_py(), repeated, plain))
-                own = [b.column(b.schema.get_field_index(c)) for c in given]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+                for i, (h, x) in enumerate(zip(col("h_"), col(page), strict=True)):
+                    own = whole_tree
+                    if own is None:
+                        held = col("own_")[i].as_py() or []
+                        own = Tree(*(np.array([r[c] for r in held], k) for c, k in (("key", np.int64), ("weight", np.float64), ("importance", np.float64))))
+                    texts.append(extract(x.as_py(), h.as_py(), own.text, own.style))
+                yield pa.RecordBatch.from_arrays([*map(col, given), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(tidied(run), schema)

@@ -1,8 +1,35 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
 from rillflow.llm import styletree as S
 
 
-def text(page, repeated=frozenset()):
-    return S.extract(page, repeated)
+def text(page):
+    return S.extract(page)
+
+
+def test_names_are_read_whole():
+    assert text('<div class="content has-sidebar"><p>Hello main story text</p></div>') == "Hello main story text"
+    assert text('<div class="post no-comments"><p>x</p></div>') == "x"
+    assert text('<div id="social-science">x</div>') == "x" and text('<div class="top-story">x</div>') == "x"
+    assert text('<p>a</p><div class="Post_Comments">b</div><div id="left-sidebar">c</div><div class="x cookie-notice">d</div>') == "a"
+    assert text('<div class="site-header">Site</div><p>a</p>') == "a" and text('<main><div class="page-header">Title</div><p>a</p></main>') == "Title\na"
+    assert text('<div class="sidebar">all there is</div>') == "all there is"
+
+
+def test_articles_and_main():
+    assert text('<main><h1>H</h1><p>Lead</p><article class="card">teaser</article><p>long body of the page</p></main>') == "H\nLead\nteaser\nlong body of the page"
+    assert text("<p>m</p><article>one</article><article>two is longer</article>") == "one\ntwo is longer"
+    assert text("<main><p>Crumbs</p><article>The whole long story</article></main><p>x</p>") == "The whole long story"
+    assert text('<article>Story</article><article class="comment">A much longer comment than that</article>') == "Story"
+
+
+def test_attributes_with_quotes():
+    assert text("<p data-x=it's>Hello</p><img alt=it's><p>World</p>") == "Hello\nWorld"
+    assert text("""<p title="a>b" data-y='<p>'>t</p><div class='ad'>x</div><div id = "comments">y</div>""") == "t"
 
 
 def test_article_without_its_surroundings():
@@ -68,3 +95,64 @@ def test_copied_articles_keep_lists_tables_and_sections(spark):
         copy = "about copy at" in r.html
         assert not copy or r.text == body("copy") + "\n" + "\n".join("abcdefghi")
         assert "Read more" not in r.text
+
+
+def random_pages(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        parts = [f"<div class='{rng.choice(['a', 'b'])}{rng.randrange(3)}'>" + "".join(rng.choice(["<p>one</p>", "<p>two</p>", f"<p>own {i}</p>", "<ul><li>x<li>y</ul>", "<div class='w-1/2'><p>z</p></div>"]) for _ in range(rng.randrange(4))) + "</div>" for _ in range(rng.randrange(4))]
+        if rng.random() < 0.5:
+            parts.append(f"<article><h1>{rng.choice(['s', 't', str(i)])}</h1><div class='more'><p>read on</p></div></article>")
+        out.append((i, f"http://h{rng.randrange(3)}.example/{i}", "<body>" + "".join(parts) + "</body>"))
+    return out
+
+
+def by_hand(rows):
+    """Importance by key, straight from the definition: page by page, in dictionaries."""
+    seen = {k: defaultdict(lambda: defaultdict(set)) for k in range(3)}
+    for i, url, page in rows:
+        for kind, node, value, story in S.page_counts(url.split("/")[2], page):
+            seen[kind][node][value].add(story if story is not None else (i,))
+    out = {}
+    for node, values in seen[S.TEXTS].items():
+        m = len(seen[S.PAGES][node][0]) + S.SPARSE
+        out |= {v: (None, x) for v, pages in values.items() if len(pages) > 1 and (x := 1 - math.log(len(pages)) / math.log(m)) < S.COMMON}
+    for node, values in seen[S.LOOKS].items():
+        if len(values) > 1:
+            n = [len(p) for p in values.values()]
+            entropy = -sum(k / sum(n) * math.log(k / sum(n)) for k in n)
+            out[node] = (S.GAMMA ** len(n), min(1.0, entropy / math.log(len(seen[S.PAGES][node][0]) + S.SPARSE)))
+    return out
+
+
+def test_tree_against_counting_by_hand(spark):
+    rows = random_pages(150, 5)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    counts = S.style_counts(df.select(S.host(df["url"]).alias("host"), "html"))
+    got = {r.key: (r.weight, r.importance) for r in S.importance(counts).collect()}
+    want = by_hand(rows)
+    assert set(got) == set(want) and len(got) > 20
+    for k, (w, x) in want.items():
+        assert got[k][0] == (pytest.approx(w) if w is not None else None) and got[k][1] == pytest.approx(x)
+
+
+def test_what_a_page_counts():
+    rows = S.page_counts("h", "<body><div><p>a</p><p>a</p><p>b</p></div></body>")
+    assert Counter(r[0] for r in rows) == {S.TEXTS: 2, S.LOOKS: 3, S.PAGES: 4} and {r[3] for r in rows} == {None}
+    with_story = S.page_counts("h", "<body><p>x</p><article><p>a</p></article></body>")
+    assert len({r[3] for r in with_story}) == 1 and None not in {r[3] for r in with_story}
+
+
+def test_a_tree_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    rows = random_pages(120, 6) + [(500, None, None), (501, "x", ""), (502, "http://h0.example/same", "<p>one</p>"), (502, "http://h0.example/same", "<p>one</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = sorted((r.page_id, r.text, r.n_chars) for r in S.extract_pages(df, "url", "html").collect())
+    monkeypatch.setattr(S, "BROADCAST_KEYS", 0)
+    assert sorted((r.page_id, r.text, r.n_chars) for r in S.extract_pages(df, "url", "html").collect()) == plain
+    assert len(plain) == len(rows) and any(t != S.extract(x) for (_, t, _), (_, _, x) in zip(plain, sorted(rows, key=lambda r: (r[0], r[2] or "")), strict=True))
+
+
+def test_few_pages_say_little():
+    importance = lambda k, m: 1 - math.log(k) / math.log(m + S.SPARSE)
+    assert importance(2, 2) > S.THRESHOLD and importance(3, 3) > S.THRESHOLD and importance(5, 5) < S.THRESHOLD and importance(100, 100) < 0.02
