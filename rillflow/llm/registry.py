@@ -19,12 +19,13 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `bytes`: 16 shards of nearly equal bytes from 4,096 virtual slots and a stored map."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    slotted = sharding.with_slots(docs, "doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))).drop("text")
-    slot_map = sharding.store_map(sharding.first_map(sharding.slot_bytes(slotted), 16), shared_dir(spark))
-    numbered = sharding.number_rows(sharding.assign(slotted, slot_map), "doc_id")
+    at = shared_dir(spark)
+    cut = stored(sharding.chunks(table(spark, sf_dir, "documents"), "doc_id", "text"), f"{at}/chunks")
+    sums = stored(sharding.slot_bytes(cut), f"{at}/sums")  # a row per virtual slot
+    slot_map = sharding.store_map(sharding.first_map(sums, 16), f"{at}/map", 1)
+    numbered = sharding.number_rows(sharding.assign(cut, slot_map), sums, slot_map)
     return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 

@@ -1,41 +1,95 @@
 import random
+import struct
+import zlib
 from collections import Counter
 from fractions import Fraction
 
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillflow.llm import mixing, sharding
-from rillflow.llm.registry import mix_documents
+from rillflow.llm.registry import mix_documents, queries
+
+DIR = "/root/testdata/sf0.001"
+
+
+def sharded(df, n_shards, at):
+    cut = sharding.chunks(df, "doc_id", "text")
+    sums = sharding.slot_bytes(cut)
+    slot_map = sharding.store_map(sharding.first_map(sums, n_shards), at, 1)
+    return sums, slot_map, sharding.number_rows(sharding.assign(cut, slot_map), sums, slot_map).collect()
+
+
+def spark_hash(*values):
+    """xxhash64 as Spark chains it over long, string and boolean values."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v) if isinstance(v, bool) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def by_hand(rows, n_shards):
+    """(key, size, crc, virtual slot, shard) of every record and the number of each in its shard, in plain Python."""
+    chunked = []
+    for (key, text), n in Counter(rows).items():
+        size, mark = len((text or "").encode()) + 1, spark_hash(text or "", text is None)
+        most = max(1, sharding.CHUNK_BYTES // size)
+        for c in range(-(-n // most)):
+            chunked.append((spark_hash(key, mark, c) % sharding.N_SLOTS, (key is not None, key or 0), mark, zlib.crc32((text or "").encode()), size, c, min(most, n - c * most), key))
+    load = Counter({s: 0 for s in range(sharding.N_SLOTS)})
+    for v, *_, size, _, n, _ in chunked:
+        load[v] += size * n
+    shards, to = [0] * n_shards, {}
+    for v in sorted(load, key=lambda v: (-load[v], v)):
+        to[v] = shards.index(min(shards))
+        shards[to[v]] += load[v]
+    count, out = Counter(), []
+    for v, _, _, crc, size, _, n, key in sorted(chunked, key=lambda x: x[:6]):
+        for _ in range(n):
+            out.append((key, size, crc, v, to[v], count[to[v]]))
+            count[to[v]] += 1
+    return out
+
+
+def test_slots_shards_and_numbers_against_plain_python(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, "é" * int(rng.paretovariate(1.2) * 20)) for i in range(1500)] + [(5, None), (5, None), (5, ""), (None, ""), (None, "a")] + [(7, "same text " * 90)] * 700
+    df = spark.createDataFrame([(*r, "old", 0) for r in rows], "doc_id long, text string, shard string, n int").repartition(5)
+    _, _, got = sharded(df, 16, str(tmp_path / "map"))
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(((r.key, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot) for r in got), key=key) == sorted(by_hand(rows, 16), key=key)
 
 
-def test_slots_shards_and_numbers(spark, tmp_path):
-    rng = random.Random(1)
-    rows = [(i, "x" * int(rng.paretovariate(1.2) * 20), "old") for i in range(3000)] + [(5, None, "old"), (5, None, "old"), (None, "", "old")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
-    slotted = sharding.with_slots(df, "doc_id", "text")
-    sums = sharding.slot_bytes(slotted)
-    assert sums.count() == sharding.N_SLOTS
-    v1 = sharding.store_map(sharding.first_map(sums, 16), str(tmp_path / "map"))
-    got = sharding.number_rows(sharding.assign(slotted, v1), "doc_id").collect()
-    assert len(got) == len(rows) and sum(r.size for r in got) == sum(len((t or "").encode()) + 1 for _, t, _ in rows)
+def test_whole_query_against_plain_python(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(DIR + "/documents.parquet").select("doc_id", "text").collect()]
+    got = queries()["op3_sharding"](spark, DIR).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot) for r in got) == sorted(by_hand(docs, 16))
+
+
+def test_a_hot_key_and_a_hot_record_are_spread(spark, tmp_path):
+    rows = [(1, f"text {i} " + "y" * 90) for i in range(10_000)] + [(2, "z" * 99)] * 10_000 + [(i, "x" * 99) for i in range(10, 10_010)]
+    _, _, got = sharded(spark.createDataFrame(rows, "doc_id long, text string"), 16, str(tmp_path / "map"))
     by = Counter()
     for r in got:
         by[r.shard] += r.size
-    assert max(by.values()) - min(by.values()) <= max(Counter(r.virtual_slot for r in got).values()) * 100 + max(r.size for r in got)
-    for shard in range(16):
-        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
-    v2 = sharding.store_map(sharding.grow_map(v1, sums, 16), str(tmp_path / "map"))
+    assert len(got) == 30_000 and max(by.values()) < 1.01 * min(by.values())
+
+
+def test_a_map_grows_into_the_new_shard_only(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(3000)], "doc_id long, text string")
+    sums, v1, _ = sharded(df, 16, str(tmp_path / "map"))
+    v2 = sharding.store_map(sharding.grow_map(v1, sums, 16), str(tmp_path / "map"), 2)
     old, new = ({r.virtual_slot: r.shard for r in v.collect()} for v in (sharding.load_map(spark, str(tmp_path / "map"), 1), v2))
     moved = [s for s in old if old[s] != new[s]]
     assert moved and all(new[s] == 16 for s in moved) and sharding.load_map(spark, str(tmp_path / "map")).first().version == 2
 
 
 def test_empty_table(spark, tmp_path):
-    df = spark.createDataFrame([], "doc_id long, text string")
-    slotted = sharding.with_slots(df, "doc_id", "text")
-    v1 = sharding.store_map(sharding.first_map(sharding.slot_bytes(slotted), 4), str(tmp_path / "map"))
-    assert sharding.number_rows(sharding.assign(slotted, v1), "doc_id").count() == 0
+    sums, slot_map, got = sharded(spark.createDataFrame([], "doc_id long, text string"), 4, str(tmp_path / "map"))
+    assert got == [] and sums.count() == slot_map.count() == sharding.N_SLOTS
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mix_documents(spark, docs).count() == 0
 
