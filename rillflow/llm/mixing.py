@@ -2,16 +2,20 @@
 
 Targets come from weights, no source above `max_repeats` times its own size. The mix is cut into
 blocks of equal token counts; the blocks are seats, dealt to sources by the highest quotients
-target / (2j - 1). Seat numbers also cut the mix into output shards, each with integer quotas. The
-quotas then take the first blocks of the source's documents in a seeded order.
+target / (2j - 1). Seat numbers also cut the mix into output shards, each with an integer quota of blocks
+of every source. A source's documents stand in a seeded order, read over again for further passes; shard
+after shard takes its quota of blocks from there, so what a document gives, and to which shards, follows
+from the quotas alone (`taken` and `parts`).
 
 No seat is enumerated: the seats that every divisor near the right one gives are counted, and only
 about two per source around the boundary are ranked. Documents get their token offset within a
-source by summing over (source, hash slice) first, so a source with a third of all rows is spread
-over `SLICES` groups.
+source by summing over (source, hash slice) first; slices follow the number of documents, so a source with
+a third of all rows is spread over them.
 
 Edge cases: null text has size 0 and takes 0 tokens; a null source is a source of its own, ordered
-last; repeated rows count one by one; an empty table gives no rows; a source of size 0 gets target 0.
+last; repeated rows count one by one, rows of equal key and size in the order of `ties`; an empty table
+gives no rows; a source of size 0 gets target 0. Input columns are kept but for the names that the result
+adds (`source_size`, `target`, `taken`, `parts`) and h_, slice_, ends_, at_, s_, k_, q_, tokens_ and shards_.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_TOKENS = 1024
 BLOCKS_PER_SOURCE = 1000
-SLICES = 512
+N_SHARDS = 16
+ROWS_PER_SLICE, LEAST_SLICES = 200_000, 64
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
-    """source, source_size: one row per source."""
-    return sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, source_rows: one row per source."""
+    return sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
 
 
 def weights(sizes: DataFrame, cycle: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -103,47 +108,55 @@ def block_plan(targeted: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[i
     return block, (tokens or 0) // block
 
 
-def quotas(targeted: DataFrame, plan: tuple[int, int], max_repeats: int = MAX_REPEATS, n_shards: int = 16) -> DataFrame:
-    """Adds to each source: seats, block, passes (whole passes), chosen (blocks of the last, partial one).
-
-    A source's quota is the sum of its quotas over the output shards.
-    """
+def quotas(targeted: DataFrame, plan: tuple[int, int], max_repeats: int = MAX_REPEATS, n_shards: int = N_SHARDS) -> DataFrame:
+    """Adds to each source: seats, block, blocks (its quota in each output shard, an array), shards (where each of
+    them ends in the tokens of the source's passes, an array) and tokens (where the last ends)."""
     block, blocks = plan
-    dealt = shard_quotas(targeted, blocks, n_shards).groupBy("place").agg(F.sum("blocks").alias("seats"))
-    tokens = F.least(F.col("seats") * block, F.col("source_size") * max_repeats)
+    own = shard_quotas(targeted, blocks, n_shards).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("by_shard"))  # n_shards rows each
+    none = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda s: F.struct(s.alias("shard"), F.lit(0).cast("long").alias("blocks")))
+    quota = F.transform(F.coalesce("by_shard", none), lambda x: x["blocks"].cast("long"))
+    most = F.col("source_size") * max_repeats
+    ends = F.transform("blocks", lambda _, i: F.least(F.aggregate(F.slice("blocks", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x) * block, most))
     return (
-        targeted.join(dealt, "place", "left")
-        .na.fill(0, ["seats"])
+        targeted.join(own, "place", "left")
+        .withColumn("blocks", quota)
+        .withColumn("seats", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x))
         .withColumn("block", F.lit(block).cast("long"))
-        .withColumn("tokens", tokens)
-        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("tokens") / F.col("source_size"))).otherwise(0))
-        .withColumn("chosen", F.round((F.col("tokens") - F.col("passes") * F.col("source_size")) / block).cast("long"))
+        .withColumn("shards", ends)
+        .withColumn("tokens", F.element_at("shards", -1))
+        .drop("by_shard")
     )
 
 
-def mix(sized: DataFrame, key: str, quota: DataFrame, seed: int = 17) -> DataFrame:
-    """Adds source_size, target and taken to every document.
+def mix(sized: DataFrame, key: str, quota: DataFrame, seed: int = 17, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds source_size, target, taken and parts (shard from 0, tokens: what goes to each output shard) to every document.
 
-    A source's documents stand in a seeded order; the last, partial pass takes the first `chosen` blocks
-    of it. So of every source all documents but one are taken a whole number of times, and `taken`
-    rounded to whole documents misses the source's quota by no more than half of that one.
+    Of every source all documents but one are taken a whole number of times, and `taken` rounded to whole
+    documents misses the source's quota by no more than half of that one.
     """
+    n_slices = quota.agg(F.greatest(F.lit(LEAST_SLICES), F.ceil(F.max("source_rows") / ROWS_PER_SLICE))).first()[0] or LEAST_SLICES
     mixed = F.xxhash64(F.lit(seed), F.col(key), F.col("size"))
-    placed = sized.withColumn("h", mixed).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
-    per_slice = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    ahead = Window.partitionBy("source").orderBy("slice")
-    starts = per_slice.select(
-        F.col("source").alias("s_"), F.col("slice").alias("k_"), (F.sum("slice_size").over(ahead) - F.col("slice_size")).alias("slice_at")
-    )
-    inner = Window.partitionBy("source", "slice").orderBy("h", F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
-    q = quota.select(F.col("source").alias("q_"), "source_size", "target", "passes", "chosen", "block")
+    placed = sized.drop("source_size", "target", "taken", "parts").withColumn("h_", mixed).withColumn("slice_", F.pmod("h_", F.lit(n_slices)).cast("int"))
+    per_slice = placed.groupBy("source", "slice_").agg(F.sum("size").alias("n_"))
+    ahead = Window.partitionBy("source").orderBy("slice_")
+    starts = per_slice.select(F.col("source").alias("s_"), F.col("slice_").alias("k_"), (F.sum("n_").over(ahead) - F.col("n_")).alias("at_"))
+    inner = Window.partitionBy("source", "slice_").orderBy("h_", F.col(key), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    q = quota.select(F.col("source").alias("q_"), "source_size", "target", F.col("tokens").alias("tokens_"), F.col("shards").alias("shards_"))
     at = (
-        placed.withColumn("ends", F.sum("size").over(inner))
-        .join(starts, F.col("source").eqNullSafe(F.col("s_")) & (F.col("slice") == F.col("k_")))
+        placed.withColumn("ends_", F.sum("size").over(inner))
+        .join(starts, F.col("source").eqNullSafe(F.col("s_")) & (F.col("slice_") == F.col("k_")))
         .join(q, F.col("source").eqNullSafe(F.col("q_")))
-        .withColumn("begin", F.col("slice_at") + F.col("ends") - F.col("size"))
-    )
-    part = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("chosen") * F.col("block")) - F.col("begin"))
-    return at.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long")).drop(
-        "h", "slice", "ends", "s_", "k_", "slice_at", "q_", "passes", "chosen", "block", "begin"
+        .withColumn("at_", F.col("at_") + F.col("ends_") - F.col("size"))
     )
+    zero = F.lit(0).cast("long")
+    # in pass p the document is tokens at_ + p * source_size and on; the passes that the quota reaches
+    passes = F.when((F.col("size") > 0) & (F.col("tokens_") > F.col("at_")), F.sequence(zero, F.floor((F.col("tokens_") - 1 - F.col("at_")) / F.col("source_size"))))
+
+    def given(begin, end):
+        within = lambda p: F.greatest(zero, F.least(F.col("at_") + p * F.col("source_size") + F.col("size"), end) - F.greatest(F.col("at_") + p * F.col("source_size"), begin))
+        return F.aggregate(F.coalesce(passes, F.array().cast("array<long>")), zero, lambda a, p: a + within(p))
+
+    shard = lambda end, i: F.struct(i.alias("shard"), given(F.when(i == 0, zero).otherwise(F.get("shards_", i - 1)), end).alias("tokens"))
+    parts = F.filter(F.transform("shards_", shard), lambda x: x["tokens"] > 0)
+    taken = F.aggregate("parts", zero, lambda a, x: a + x["tokens"])
+    return at.withColumn("parts", parts).withColumn("taken", taken).drop("h_", "slice_", "ends_", "s_", "k_", "at_", "q_", "tokens_", "shards_")

@@ -61,12 +61,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame, *more: str) -> DataFrame
     """Sizes, quotas and taken tokens of documents (doc_id, source, text, and small columns to keep)."""
     sized = docs.select("doc_id", "source", *more, n_blank_words(F.col("text")).alias("size"))
     targeted = stored(mixing.targets(mixing.weights(mixing.source_sizes(sized))), shared_dir(spark))  # one row per source
-    return mixing.mix(sized, "doc_id", mixing.quotas(targeted, mixing.block_plan(targeted)))
+    return mixing.mix(sized, "doc_id", stored(mixing.quotas(targeted, mixing.block_plan(targeted)), shared_dir(spark)), ties=more)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, ...; targets stop at three times the source."""
-    return mix_documents(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_documents(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "parts")
 
 
 def tokenizer_path() -> str:

@@ -135,7 +135,8 @@ def test_mix_meets_capped_targets(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, target string")
     got = mix_documents(spark, df.drop("target")).collect()
     again = mix_documents(spark, df.drop("target").repartition(7)).collect()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, again)) and len(got) == len(rows)
+    plain = lambda rows: Counter((r.doc_id, r.source, r.size, r.target, r.taken, tuple(map(tuple, r.parts))) for r in rows)
+    assert plain(got) == plain(again) and len(got) == len(rows)
     names = ["a", "b", "c", "d", "z", "é", None]
     sizes = [sum(r.size for r in got if r.source == s) for s in names]
     want = capped(sizes, [5, 2, 1, 5, 2, 1, 5])
@@ -144,7 +145,7 @@ def test_mix_meets_capped_targets(spark):
         own = [r for r in got if r.source == s]
         assert all(abs(r.target - target) < 1e-6 * max(1, target) and r.source_size == size for r in own)
         assert abs(sum(r.taken for r in own) - target) <= 3 * block + 1
-        assert all(0 <= r.taken <= 3 * r.size for r in own)
+        assert all(0 <= r.taken <= 3 * r.size and r.taken == sum(p.tokens for p in r.parts) for r in own)
 
 
 def test_quotas_of_output_shards_add_up(spark):
@@ -160,6 +161,52 @@ def test_quotas_of_output_shards_add_up(spark):
     assert df.filter(F.lit(False)).count() == 0
 
 
+def test_shards_take_their_quotas_block_by_block(spark):
+    """Every token of the passes over a source's documents goes to the shard whose seats cover it, counted token by token."""
+    rng = random.Random(7)
+    rows = [(k * 1000 + i, f"s{k}", "w " * rng.randrange(0, 40)) for k, n in enumerate([4, 60, 25, 90]) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = df.select("doc_id", "source", F.size(F.filter(F.split("text", " "), lambda x: x != "")).cast("long").alias("size"))
+    targeted = mixing.targets(mixing.weights(mixing.source_sizes(sized)))
+    block = 7
+    t = sorted(targeted.collect(), key=lambda r: r.place)
+    houses = sum(r.source_size for r in t) // block
+    by_house = [divisor([Fraction(r.target).limit_denominator(10**6) for r in t], houses * (s + 1) // 16) for s in range(16)]
+    want = {r.place: [b[i] - (by_house[s - 1][i] if s else 0) for s, b in enumerate(by_house)] for i, r in enumerate(t)}
+    quota = mixing.quotas(targeted, (block, houses)).cache()
+    assert {r.place: r.blocks for r in quota.collect()} == want
+    got = mixing.mix(sized, "doc_id", quota).collect()
+    for r in t:
+        own = [x for x in got if x.source == r.source]
+        shard_of = [s for s, n in enumerate(want[r.place]) for _ in range(n * block)][: 3 * r.source_size]
+        assert sum(x.taken for x in own) == len(shard_of)
+        for s in range(16):
+            assert sum(p.tokens for x in own for p in x.parts if p.shard == s) == shard_of.count(s)
+        assert len([x for x in own if x.size and x.taken % x.size]) <= 1
+
+
+def test_a_source_s_documents_are_taken_in_a_seeded_order(spark):
+    df = spark.createDataFrame([(i, "s", 10) for i in range(400)] + [(i, "t", 1) for i in range(1000, 1400)], "doc_id long, source string, size long")
+    targeted = mixing.targets(mixing.weights(mixing.source_sizes(df), (1, 8)))
+    plan = mixing.quotas(targeted, (10, 440)).cache()
+    taken = [frozenset(r.doc_id for r in mixing.mix(df.repartition(n), "doc_id", plan, seed).collect() if r.source == "s" and r.taken) for seed, n in ((1, 2), (1, 5), (2, 3))]
+    assert taken[0] == taken[1] != taken[2] and 200 < len(taken[0]) < 400
+
+
+def test_seats_beyond_32_bits(spark):
+    targets = [7_000_000_000_001, 3_333_333_333_333, 1_024, 5_000_000_000_000]
+    df = spark.createDataFrame([(f"s{i}", i, float(x), x) for i, x in enumerate(targets)], "source string, place int, target double, source_size long")
+    house = sum(targets) // 1024
+    assert house > 1 << 32
+    rows = {r.place: r for r in mixing.quotas(df.withColumn("source_rows", F.lit(1)), (1024, house)).collect()}
+    seats = [rows[i].seats for i in range(4)]
+    assert sum(seats) == house and all(sum(rows[i].blocks) == seats[i] for i in range(4))
+    assert all(Fraction(targets[i], 2 * seats[i] - 1) >= Fraction(targets[j], 2 * seats[j] + 1) for i in range(4) for j in range(4) if seats[i])
+    sized = spark.createDataFrame([(i, f"s{i}", x) for i, x in enumerate(targets)], "doc_id long, source string, size long")
+    got = {r.doc_id: r for r in mixing.mix(sized, "doc_id", mixing.quotas(df.withColumn("source_rows", F.lit(1)), (1024, house))).collect()}
+    assert all(got[i].taken == seats[i] * 1024 for i in range(4))
+
+
 def test_stage_takes_whole_documents_up_to_each_target(spark):
     rng = random.Random(4)
     rows = [(k * 1000 + i, f"s{k}", "w " * rng.randrange(20, 1500)) for k in range(7) for i in range(120)]
