@@ -52,15 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder that no frame reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove(spark: SparkSession, at: str) -> None:
     """At the end of the driver; a session that has ended already leaves the folder to the cluster."""
     if spark.sparkContext._jsc is None:
         if at.startswith("file://" + tempfile.gettempdir()):
             shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
         return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, at)
 
 
 def stored(df: DataFrame, at: str, *partition_by: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from rillflow.llm import katz
+from rillflow.llm.common import shared_dir
 
 
 def brute(docs):
@@ -38,23 +39,80 @@ def brute(docs):
 
 def check(spark, docs):
     df = spark.createDataFrame(docs, "key long, text string, train boolean").repartition(3)
-    rows, n = katz.score(df, "key", "text", "train")
+    before = spark.sql("SHOW TABLES").count()
+    at = shared_dir(spark)
+    rows, n = katz.score(df, "key", "text", "train", at)
+    assert spark.sql("SHOW TABLES").count() == before
     want, n_want, mass = brute(docs)
     assert n == n_want and mass == pytest.approx([1.0] * len(mass))
     order = lambda r: (r[0] is None, r[0] or 0, r[4])
     got = sorted(map(tuple, rows.collect()), key=order)
     for g, w in zip(got, sorted(want, key=order), strict=True):
         assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-9)
+    again = sorted(map(tuple, katz.Model(spark, at).score(df, "key", "text").collect()), key=order)  # from the stored tables alone
+    for g, w in zip(again, got, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-12)
+    return at
 
 
-def test_scores_and_exact_mass(spark, monkeypatch):
-    monkeypatch.setattr(katz, "CHUNK_TOKENS", 300)
-    monkeypatch.setattr(katz, "REQUESTS_PER_BUCKET", 700)
+def some_docs():
     rng = random.Random(9)
     words = [f"w{int(rng.paretovariate(0.8)) % 400}" for _ in range(3000)]
     docs = [(i, " ".join(rng.choice(words).upper() if rng.random() < 0.1 else rng.choice(words) for _ in range(rng.randrange(0, 60))), rng.random() < 0.8) for i in range(120)]
-    docs += [(200, None, True), (201, "", False), (202, "É é \x0b x", True), (None, "w1 w2", True), (5, "w1 w2 w3", True), (5, "w1 w2 w3", True), (300, "w1 " * 2000, False)]
-    check(spark, docs)
+    return docs + [(200, None, True), (201, "", False), (202, "É é \x0b x", True), (None, "w1 w2", True), (5, "w1 w2 w3", True), (5, "w1 w2 w3", True), (300, "w1 " * 2000, False)]
+
+
+def test_scores_and_exact_mass(spark, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(katz, "BUCKETS", 9)
+    check(spark, some_docs())
+
+
+def test_requests_through_groups_of_chunks(spark, monkeypatch):
+    for name, value in (("CHUNK_TOKENS", 300), ("BUCKETS", 3), ("DIRECT", 4), ("BYTES_PER_BUCKET", 1200)):
+        monkeypatch.setattr(katz, name, value)
+    r = katz.Ranges(25_000)
+    assert r.relays and r.n_groups > 1 and r.n_asked < r.n_buckets
+    at = check(spark, some_docs())
+    assert spark.read.parquet(f"{at}/bigrams-relay").count() > 0
+
+
+def test_requests_grow_with_the_input():
+    """Keys a request at least, from 100 MB to 100 TB of text, where a chunk has a million keys."""
+    for size in (10**8, 5 * 10**8, 10**10, 10**12, 10**14):
+        r = katz.Ranges(size)
+        chunks = size / (6 * katz.CHUNK_TOKENS)
+        if r.relays:
+            assert 10**6 / r.n_asked > 300  # of a chunk to a coarse range
+            assert chunks / r.n_groups * 10**6 / r.n_buckets > 900  # of a group to a bucket
+            assert chunks / r.n_groups * 10**6 / r.n_asked < 10**8  # that a group has in a coarse range
+        else:
+            assert 10**6 / r.n_buckets > 900
+    assert katz.Ranges(172_000_000).n_buckets == katz.Ranges(860_000_000).n_buckets == katz.BUCKETS
+
+
+def test_new_texts_are_scored_from_the_tables(spark):
+    docs = some_docs()
+    at = shared_dir(spark)
+    katz.score(spark.createDataFrame(docs, "key long, text string, train boolean"), "key", "text", "train", at)
+    new = [(1, "w1 w2 never seen words w3"), (2, "w5 w5 w5 w1"), (3, None)]
+    got = {r.key: tuple(r) for r in katz.Model(spark, at).score(spark.createDataFrame(new, "key long, text string"), "key", "text").collect()}
+    want, _, _ = brute(docs + [(i + 1000, t, False) for i, t in new])
+    for w in want:
+        if w[0] is not None and w[0] > 1000:
+            g = got[w[0] - 1000]
+            assert g[1:3] == w[1:3] and g[3:] == pytest.approx(w[3:], rel=1e-9)
+
+
+def test_the_tables_hold_counts_and_backoff_weights(spark):
+    docs = [(1, "a b a c", True), (2, "a b", True), (3, "z", False)]
+    at = shared_dir(spark)
+    katz.score(spark.createDataFrame(docs, "key long, text string, train boolean"), "key", "text", "train", at)
+    rows = {k: [r for r in katz.Model(spark, at).tables[k].filter("kind = 'table'").collect()] for k in ("unigrams", "bigrams", "contexts")}
+    assert sum(len(katz.unpack_keys(r["keys"])) for r in rows["unigrams"]) == 4  # a, b, c and the end
+    assert sorted(x for r in rows["bigrams"] for x in katz.unpack(r["values"], "<u8").tolist()) == [1, 1, 1, 1, 2, 2]
+    weights = [x for r in rows["contexts"] for x in katz.unpack(r["values"], katz.BACKOFF)["weight"].tolist()]
+    assert len(weights) == 4 and all(w > 0 for w in weights)
 
 
 def test_no_training_rows_and_empty_table(spark):
