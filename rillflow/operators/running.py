@@ -9,6 +9,7 @@ the rows they need from the chunk before.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,18 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], slice_by: Col
     """Running sums by key without a task that holds a key.
 
     slice_by must not decrease along `order` (say, the day of the event time). Only one row per key and
-    slice is ordered over the whole key.
+    slice is ordered over the whole key. Null keys and slices are keys and slices of their own. The join is
+    null-safe for that, and so that neither side gets filters of its own: what was shuffled to make df is
+    then read by both sides instead of being made twice.
     """
     base = df.withColumn("slice_", slice_by).withColumns({f"{n}_v": v for n, v in sums.items()})
     inner = Window.partitionBy(*keys, "slice_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     per = base.groupBy(*keys, "slice_").agg(*[F.sum(f"{n}_v").alias(f"{n}_s") for n in sums])
     ahead = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select(*keys, "slice_", *[F.coalesce(F.sum(f"{n}_s").over(ahead), F.lit(0)).alias(f"{n}_b") for n in sums])
-    joined = base.withColumns({f"{n}_r": F.sum(f"{n}_v").over(inner) for n in sums}).join(starts, [*keys, "slice_"])
+    on = [*keys, "slice_"]
+    starts = per.select(*[F.col(k).alias(f"{k}_k") for k in on], *[F.coalesce(F.sum(f"{n}_s").over(ahead), F.lit(0)).alias(f"{n}_b") for n in sums])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_k")) for k in on])
+    joined = base.withColumns({f"{n}_r": F.sum(f"{n}_v").over(inner) for n in sums}).join(starts, same)
     return joined.select(*df.columns, *[(F.col(f"{n}_r") + F.col(f"{n}_b")).alias(n) for n in sums])
 
 
@@ -53,9 +58,12 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int, columns: Ma
     if slice_by is None:
         w = last_rows(keys, order, n)
         return df.withColumns({c: a.over(w) for c, a in columns.items()})
-    numbered = running_sums(df, keys, order, slice_by, {"row_": F.lit(1)}).withColumn("chunk_", F.floor((F.col("row_") - 1) / CHUNK))
-    tail = numbered.filter(F.pmod(F.col("row_") - 1, F.lit(CHUNK)) >= CHUNK - (n - 1)).withColumn("chunk_", F.col("chunk_") + 1)
-    both = numbered.withColumn("own_", F.lit(True)).unionByName(tail.withColumn("own_", F.lit(False)))
+    numbered = running_sums(df, keys, order, slice_by, {"row_": F.lit(1).cast("long")})
+    chunk = F.floor((F.col("row_") - 1) / CHUNK)
+    own = F.struct(chunk.alias("chunk_"), F.lit(True).alias("own_"))
+    lent = F.struct((chunk + 1).alias("chunk_"), F.lit(False).alias("own_"))
+    in_tail = F.pmod(F.col("row_") - 1, F.lit(CHUNK)) >= CHUNK - (n - 1)
+    both = numbered.withColumn("in_", F.explode(F.when(in_tail, F.array(own, lent)).otherwise(F.array(own)))).select("*", "in_.*").drop("in_")
     w = Window.partitionBy(*keys, "chunk_").orderBy("row_").rowsBetween(-(n - 1), 0)
     return both.withColumns({c: a.over(w) for c, a in columns.items()}).filter("own_").drop("row_", "chunk_", "own_")
 

@@ -47,7 +47,7 @@ QUERIES = {
     "mapper": lambda s, d: stateless.mapper(_events(s, d), cents=F.col("cents") + 1).select("event_id", "cents"),
     "flatmap_words": _words,
     "word_count": lambda s, d: _words(s, d).groupBy("word").agg(F.count("*").alias("n")),
-    "word_count_running": lambda s, d: counter(_words(s, d), ["word"], ["conv_id", "turn", "place"], F.col("conv_id")).select("conv_id", "turn", "place", "word", "n"),
+    "word_count_running": lambda s, d: counter(_words(s, d), ["word"], ["conv_id", "turn", "place"], F.floor(F.col("conv_id") / 4096)).select("conv_id", "turn", "place", "word", "n"),
     "tumbling_count": lambda s, d: windows.tumbling(_events(s, d), "ts", ["event_type"], "6 hours", {"n": F.count("*")}),
     "sliding_count": lambda s, d: windows.sliding(_events(s, d), "ts", ["event_type"], 5, "1 hour", {"c": F.count("*")}, {"n": F.sum("c")}),
     "moving_average": lambda s, d: moving_average(_events(s, d).withColumn("v", F.col("cents")), ["user_id"], 5, "1 day"),

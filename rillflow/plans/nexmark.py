@@ -41,8 +41,8 @@ def category_average(closed: DataFrame, ts: str) -> DataFrame:
 
 
 def seller_average(closed: DataFrame, ts: str, n: int = 10) -> DataFrame:
-    """Per closed auction the average of its seller's last n prices."""
-    out = running.last_n(closed, ["seller"], [ts, "id"], n, {"avg_price": F.avg("final_price")})
+    """Per closed auction the average of its seller's last n prices. Sellers may be hot: sliced by month."""
+    out = running.last_n(closed, ["seller"], [ts, "id"], n, {"avg_price": F.avg("final_price")}, F.trunc(ts, "month"))
     return out.select("id", "seller", F.round("avg_price", 4).alias("avg_price"))
 
 

@@ -10,7 +10,6 @@ from rillflow.operators import running, stateless, windows
 from rillflow.sources import tables as S
 
 PAD = "0Round0"
-NUDGE = 1e-6
 
 
 def routed(trips: DataFrame) -> DataFrame:
@@ -21,9 +20,10 @@ def routed(trips: DataFrame) -> DataFrame:
 
 
 def route_median(trips: DataFrame, n: int = 20, value: str = "trip_time_secs") -> DataFrame:
-    """Per trip the median of its route's and vendor's last n trips; of an even number the lower one."""
+    """Per trip the median of its route's and vendor's last n trips; of an even number the lower one. Routes are few:
+    sliced by month."""
     frame = {"held": F.collect_list(value)}
-    out = running.last_n(routed(trips), ["route_id", "vendor"], ["dropoff_ts", "trip_order", "trip_line"], n, frame)
+    out = running.last_n(routed(trips), ["route_id", "vendor"], ["dropoff_ts", "trip_order", "trip_line"], n, frame, F.trunc("dropoff_ts", "month"))
     return out.select("trip_order", "trip_line", F.col("route_id").cast("string").alias("route"), "vendor", running.lower_median(F.col("held")).alias("median"), F.size("held").cast("long").alias("n"))
 
 
@@ -84,23 +84,23 @@ def retention(events: DataFrame) -> DataFrame:
 
 
 def loyalty(events: DataFrame) -> DataFrame:
-    w = running.so_far(["streamer_id"], ["ts", "event_id"])
+    w = running.so_far(["streamer_id", "streamer_name"], ["ts", "event_id"])  # the key that the rows are dealt by already
     held = retention(events).withColumn("engagement", F.sum("score").over(w)).withColumn("watch", F.sum("dt").over(w)).withColumn("k", F.count("*").over(w))
     return held.select("streamer_id", "streamer_name", "event_id", "ts", E.loyalty(F.col("engagement"), F.col("watch"), F.col("k")).alias("loyalty"))
 
 
 def trend(events: DataFrame) -> DataFrame:
     """Running means of loyalty and of its smoothed trend per streamer."""
-    keys, order = ["streamer_name"], ["ts", "event_id"]
+    keys, order = ["streamer_id", "streamer_name"], ["ts", "event_id"]
     steps = loyalty(events).withColumn("step", F.col("loyalty") - F.lag("loyalty", 1, 0.0).over(running.order_of(keys, order)))
     smooth = running.smoothed(steps, keys, order, "step", 0.7, "smooth")
     w = running.so_far(keys, order)
     return smooth.select("streamer_name", "event_id", F.avg("loyalty").over(w).alias("avg_loyalty"), F.avg("smooth").over(w).alias("avg_trend"), F.count("*").over(w).alias("n"))
 
 
-def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Rounded for comparison; values half-way between two results are nudged up, since engines sum in other orders."""
-    return df.withColumns({c: F.round(F.col(c) + NUDGE, digits) for c in columns})
+def _single(df: DataFrame, *columns: str) -> DataFrame:
+    """In single precision, which is the same whatever order an engine sums in."""
+    return df.withColumns({c: F.col(c).cast("float").cast("double") for c in columns})
 
 
 QUERIES = {
@@ -114,9 +114,9 @@ QUERIES = {
     "borg_busy_machine_warm": lambda s, d: recent_medians_warm(S.task_events(s, d), ["job_id", "task_index"], ["cpu", "ram", "disk"], 10),
     "borg_busy_machine": lambda s, d: recent_medians(S.task_events(s, d), ["job_id", "task_index"], ["cpu", "ram", "disk"], 10),
     "borg_busy_machine_by_event": lambda s, d: recent_medians(S.task_events(s, d), ["job_id", "event_type"], ["cpu", "ram", "disk"], 4, wide=True),
-    "twitch_retention": lambda s, d: _rounded(retention(S.viewer_events(s, d)), 3, "score").drop("ts"),
-    "twitch_loyalty": lambda s, d: _rounded(loyalty(S.viewer_events(s, d)), 4, "loyalty").drop("ts"),
-    "twitch_trend": lambda s, d: _rounded(trend(S.viewer_events(s, d)), 4, "avg_loyalty", "avg_trend"),
+    "twitch_retention": lambda s, d: _single(retention(S.viewer_events(s, d)), "score").drop("ts"),
+    "twitch_loyalty": lambda s, d: _single(loyalty(S.viewer_events(s, d)), "loyalty").drop("ts"),
+    "twitch_trend": lambda s, d: _single(trend(S.viewer_events(s, d)), "avg_loyalty", "avg_trend"),
 }
 
 _TRIPS = """SELECT l_orderkey AS trip_order, l_linenumber AS trip_line, l_returnflag AS vendor, l_shipdate AS dropoff_ts, l_quantity::BIGINT * 60 AS trip_time_secs,
@@ -151,7 +151,7 @@ _RETENTION = """SELECT user_id AS streamer_id, 's' || user_id AS streamer_name,
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
 _LOYALTY = f"""SELECT streamer_id, streamer_name, event_id, ts, (sum(score) OVER w * 0.4::DOUBLE + sum(dt) OVER w * 0.3::DOUBLE + count(*) OVER w * 0.3::DOUBLE) / 100 AS loyalty
     FROM (SELECT * FROM ({_RETENTION}) WHERE dt IS NOT NULL) WINDOW w AS (PARTITION BY streamer_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
-_TREND = f"""SELECT streamer_name, event_id, round(avg(loyalty) OVER w + 1e-6::DOUBLE, 4) AS avg_loyalty, round(avg(smooth) OVER w + 1e-6::DOUBLE, 4) AS avg_trend, count(*) OVER w AS n FROM (
+_TREND = f"""SELECT streamer_name, event_id, (avg(loyalty) OVER w)::FLOAT::DOUBLE AS avg_loyalty, (avg(smooth) OVER w)::FLOAT::DOUBLE AS avg_trend, count(*) OVER w AS n FROM (
     SELECT *, list_reduce(list_prepend(0.0::DOUBLE, list(step) OVER w), lambda s, x: s * 0.7::DOUBLE + x * 0.3::DOUBLE) AS smooth FROM (
         SELECT *, loyalty - coalesce(lag(loyalty) OVER (PARTITION BY streamer_name ORDER BY ts, event_id), 0) AS step FROM ({_LOYALTY}))
     WINDOW w AS (PARTITION BY streamer_name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
@@ -165,8 +165,8 @@ ORACLES = {
     "azure_cpu_readings": _recent(_CPU, "vm_id", ["min_cpu", "max_cpu", "avg_cpu"], 8),
     "borg_busy_machine": _recent(_TASKS, "job_id, task_index", ["cpu", "ram", "disk"], 10),
     "borg_busy_machine_by_event": _recent(_TASKS, "job_id, event_type", ["cpu", "ram", "disk"], 4, wide=True),
-    "twitch_retention": f"SELECT streamer_id, streamer_name, event_id, dt, round(score + 1e-6::DOUBLE, 3) AS score FROM ({_RETENTION}) WHERE dt IS NOT NULL",
-    "twitch_loyalty": f"SELECT streamer_id, streamer_name, event_id, round(loyalty + 1e-6::DOUBLE, 4) AS loyalty FROM ({_LOYALTY})",
+    "twitch_retention": f"SELECT streamer_id, streamer_name, event_id, dt, score::FLOAT::DOUBLE AS score FROM ({_RETENTION}) WHERE dt IS NOT NULL",
+    "twitch_loyalty": f"SELECT streamer_id, streamer_name, event_id, loyalty::FLOAT::DOUBLE AS loyalty FROM ({_LOYALTY})",
     "twitch_trend": _TREND,
 }
 #: Filling state ahead of time changes no result.
