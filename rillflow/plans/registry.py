@@ -11,7 +11,7 @@ JOBS = {
     "nexmark_query1": "q1_currency",
     "nexmark_query2": "q2_selection",
     "nexmark_query3": "q3_deployed",
-    "nexmark_query3_warmup": "q3_deployed",
+    "nexmark_query3_warmup": "q3_deployed_warm",
     "nexmark_query4": "q4_category_average",
     "nexmark_query4_modified": "q4_mod",
     "nexmark_query5": "q5_hot_items",

@@ -26,19 +26,30 @@ def has_kafka(spark: SparkSession) -> bool:
         return False
 
 
+def encoded(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows as records: value (JSON) and, if asked for, key (text)."""
+    return df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def decoded(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records (value, and timestamp where there is one) as rows, with the record's queueing time in queue_ms."""
+    queued = [(F.unix_millis(F.current_timestamp()) - F.unix_millis("timestamp")).alias("queue_ms")] if "timestamp" in records.columns else []
+    return records.select(F.from_json(F.col("value").cast("string"), schema).alias("r"), *queued).select("r.*", *[c for c in ("queue_ms",) if queued])
+
+
 def from_kafka(spark: SparkSession, servers: str, topic: str, schema: T.StructType, per_trigger: int | None = None) -> DataFrame:
     """Rows of a JSON topic, with the record's queueing time in queue_ms."""
     raw = spark.readStream.format("kafka").options(**kafka_options(servers, topic, per_trigger)).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r"), (F.unix_millis(F.current_timestamp()) - F.unix_millis("timestamp")).alias("queue_ms")).select("r.*", "queue_ms")
+    return decoded(raw, schema)
 
 
 def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None):
-    value = df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct(*df.columns)).alias("value"))
-    return value.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+    return encoded(df, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
 def azure_readings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.AZURE_EVENT).option("mode", "DROPMALFORMED").csv(path)
+    """A row that can't be read ends the job."""
+    return spark.read.schema(schemas.AZURE_EVENT).option("mode", "FAILFAST").csv(path)
 
 
 def borg_tasks(spark: SparkSession, path: str) -> DataFrame:

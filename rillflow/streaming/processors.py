@@ -25,33 +25,45 @@ def keyed(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, ti
 
 
 class ClosedAuctions(StatefulProcessor):
-    """When an auction expires, its best bid up to then. Rows: id, input, ts_ms, price, seller, category, expires_ms."""
+    """When an auction expires, its best bid up to then. Rows: id, input, ts_ms, price, seller, category, expires_ms.
+
+    Bids wait in a list only until their auction is known; from then on the best price is all that is kept.
+    """
 
     schema = "id long, seller long, category long, final_price long, closed_ms long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.auction = handle.getValueState("auction", "seller long, category long, expires_ms long")
+        self.auction = handle.getValueState("auction", "seller long, category long, expires_ms long, best long")
         self.bids = handle.getListState("bids", "ts_ms long, price long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.auction.get() if self.auction.exists() else None
+        bids = []
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.input == "auction":
-                    self.auction.update((int(r.seller), int(r.category), int(r.expires_ms)))
-                    self.handle.registerTimer(int(r.expires_ms))
-                else:
-                    self.bids.appendValue((int(r.ts_ms), int(r.price)))
+            lots = pdf[pdf["input"] == "auction"]
+            if len(lots):
+                last = lots.iloc[-1]
+                held = (int(last["seller"]), int(last["category"]), int(last["expires_ms"]), held[3] if held else -1)
+                self.handle.registerTimer(held[2])
+            own = pdf[pdf["input"] != "auction"]
+            bids += list(zip(own["ts_ms"].astype(int).tolist(), own["price"].astype(int).tolist(), strict=True))
+        if held is None:
+            if bids:
+                self.bids.appendList(bids)
+            return iter([])
+        if self.bids.exists():
+            bids += [(int(t), int(p)) for t, p in self.bids.get()]
+            self.bids.clear()
+        self.auction.update((*held[:3], max([held[3], *(p for t, p in bids if t <= held[2])])))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.auction.exists():
-            seller, category, expires = self.auction.get()
-            prices = [p for ts, p in self.bids.get() if ts <= expires] if self.bids.exists() else []
+            seller, category, expires, best = self.auction.get()
             self.auction.clear()
-            self.bids.clear()
-            if prices:
-                yield pd.DataFrame([[key[0], seller, category, max(prices), expires]], columns=["id", "seller", "category", "final_price", "closed_ms"])
+            if best >= 0:
+                yield pd.DataFrame([[key[0], seller, category, best, expires]], columns=["id", "seller", "category", "final_price", "closed_ms"])
 
     def close(self) -> None:
         pass
@@ -203,3 +215,54 @@ class PeriodSums(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class RefiringWindows(StatefulProcessor):
+    """Sums of tumbling windows that fire when event time passes their end, and again for every batch with late rows
+    until `lateness_ms` after it. Rows: key, ts_ms, value; the frame's watermark must lag by lateness_ms.
+
+    firing counts a window's results from 1; the last one holds all of its rows.
+    """
+
+    schema = "key long, window_end_ms long, total long, n long, firing int"
+
+    def __init__(self, duration_ms: int, lateness_ms: int):
+        self.duration_ms, self.lateness_ms = duration_ms, lateness_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "end_ms long", "total long, n long, firing int")
+
+    def _fire(self, key, end: int) -> pd.DataFrame:
+        total, n, firing = self.sums.getValue((end,))
+        self.sums.updateValue((end,), (total, n, firing + 1))
+        return pd.DataFrame([[key[0], end, total, n, firing + 1]], columns=["key", "window_end_ms", "total", "n", "firing"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        late = set()
+        for pdf in rows:
+            ends = (pdf["ts_ms"] // self.duration_ms + 1) * self.duration_ms
+            for end, own in pdf.groupby(ends)["value"]:
+                end = int(end)
+                total, n, firing = self.sums.getValue((end,)) if self.sums.containsKey((end,)) else (0, 0, 0)
+                self.sums.updateValue((end,), (total + int(own.sum()), n + len(own), firing))
+                if firing or timerValues.getCurrentWatermarkInMs() >= end - self.lateness_ms:
+                    late.add(end)
+                else:
+                    self.handle.registerTimer(end - self.lateness_ms)
+                self.handle.registerTimer(end)
+        for end in sorted(late):
+            yield self._fire(key, end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = at + self.lateness_ms
+        if self.sums.containsKey((due,)) and not self.sums.getValue((due,))[2]:
+            yield self._fire(key, due)
+        if self.sums.containsKey((at,)):
+            if not self.sums.getValue((at,))[2]:
+                yield self._fire(key, at)
+            self.sums.removeKey((at,))
+
+    def close(self) -> None:
+        pass
