@@ -5,11 +5,13 @@ training and on the test side alike. Two texts that share k + w - 1 = 13 words i
 hash at the same place of that run, so the join of fingerprints finds every shared span of 13 words.
 A joined pair fixes an alignment of document and item; comparing the words along it extends the hit
 and confirms every window on the words themselves. Items of fewer than 13 words are one window: for
-each length that occurs, all grams of that length are joined (winnowing with w = 1).
+each length that occurs, all grams of that length are fingerprints (winnowing with w = 1); a table of bits
+of the items' grams drops nearly all others before they become rows.
 
-The document side is exploded and joined, never collected. The test side, and the alignments to compare,
-are broadcast while they number at most `BROADCAST_ROWS` (counted first); beyond that the joins shuffle
-and adaptive execution splits hot fingerprints.
+The document side is cut into words and exploded once, and joined, never collected. What is compared with
+the test side (fingerprints, word sequences, alignments) is broadcast while it numbers at most
+`BROADCAST_ROWS` rows of bounded size (counted first, words too); beyond that the joins shuffle and adaptive
+execution splits hot fingerprints. Ids of items, of which any number may have the same words, join by key.
 
 Edge cases: null or wordless texts have no words, no hits and are not contaminated; null or wordless
 items have no windows; repeated documents are judged one by one; items of equal words count as many
@@ -26,6 +28,9 @@ from .common import NOT_WORD, ascii_lower, shared_dir, stored, words
 WINDOW = 13
 GRAM = 5
 BROADCAST_ROWS = 500_000
+#: Words of the items broadcast at most, about 8 bytes each, and bits of the table of short items.
+BROADCAST_WORDS = 4_000_000
+BITS = 1 << 16
 POSITION = (1 << 31) - 1
 
 
@@ -41,16 +46,26 @@ def _marks(h: str, k: int, w: int) -> Column:
     return F.when(n >= k + w - 1, F.transform(F.slice(h, F.lit(1), n - (k - 1)), gram)).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprints(df: DataFrame, keys: list[str], w_col: str, k: int, w: int) -> DataFrame:
-    """keys, fp, at: kept hashes and the places of their grams (from 0). keys must be small columns."""
-    hashed = df.select(*keys, F.transform(w_col, lambda x: F.xxhash64(x)).alias("h_")).select(*keys, _marks("h_", k, w).alias("g_"))
-    if w > 1:
-        low = F.transform(F.slice("g_", F.lit(1), F.greatest(F.size("g_") - (w - 1), F.lit(0))), lambda x, i: F.least(x, *(F.get("g_", i + j) for j in range(1, w))))
-        hashed = hashed.select(*keys, F.array_distinct(low).alias("g_"))
-    mark = F.col("m_")
+def fingerprints(df: DataFrame, keys: list[str], w_col: str, plans: list[tuple[int, int, int]], bits: bytes | None = None) -> DataFrame:
+    """keys, plan, fp, at: kept hashes and the places of their grams (from 0). keys must be small columns.
+
+    plans: (number, k, w) of each kind of fingerprint. bits: a table in which fingerprints of plans other than 0 are looked up.
+    """
+    out = df.select(*keys, F.transform(w_col, lambda x: F.xxhash64(x)).alias("h_"))
+    for plan, k, w in plans:  # a step each, so that a step's array is made once
+        if w > 1:
+            out = out.withColumn(f"g{plan}_", _marks(F.col("h_"), k, w))
+            g = F.col(f"g{plan}_")
+            low = F.transform(F.slice(g, F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(0))), lambda x, i: F.least(x, *(F.get(g, i + j) for j in range(1, w))))  # noqa: B023
+            out = out.withColumn(f"m{plan}_", F.array_distinct(low)).drop(f"g{plan}_")
+        else:
+            marks = _marks(F.col("h_"), k, w)
+            out = out.withColumn(f"m{plan}_", marks if bits is None else F.filter(marks, lambda x: F.substring(F.lit(bits), F.pmod(F.shiftrightunsigned(x, 31), F.lit(BITS)).cast("int") + 1, 1) == F.lit(b"\x01")))
+    numbered = F.concat(*[F.transform(f"m{p}_", lambda x: F.struct(F.lit(p).alias("plan"), x.alias("mark"))) for p, _, _ in plans])  # noqa: B023
+    mark = F.col("m_.mark")
     # explode() would push a filter on the array's size, and with it the array's whole computation, below each step
-    return hashed.select(*keys, F.explode_outer("g_").alias("m_")).filter(mark.isNotNull()).select(
-        *keys, F.shiftrightunsigned(mark, 31).alias("fp"), (F.lit(POSITION).cast("long") - mark.bitwiseAND(F.lit(POSITION))).cast("int").alias("at")
+    return out.select(*keys, F.explode_outer(numbered).alias("m_")).filter(mark.isNotNull()).select(
+        *keys, F.col("m_.plan").alias("plan"), F.shiftrightunsigned(mark, 31).alias("fp"), (F.lit(POSITION).cast("long") - mark.bitwiseAND(F.lit(POSITION))).cast("int").alias("at")
     )
 
 
@@ -72,29 +87,30 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
 def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated to docs (columns of those names are replaced).
 
-    `items` is written out or small: it is read three times.
+    Rows of equal key and text are judged once and alike; other columns are kept, whatever their names but those that end in _.
     """
     k, span = min(GRAM, window), window
-    test = test_items(items, item_id, item_text)
+    at = shared_dir(docs.sparkSession)
+    test = stored(test_items(items, item_id, item_text), f"{at}/test")
     short = sorted(r[0] for r in test.filter(F.col("n") < span).select("n").distinct().collect())  # at most window - 1 numbers
-    plans = [(None, k, span - k + 1), *((n, n, 1) for n in short)]
+    plans = [(0, k, span - k + 1), *((n, n, 1) for n in short)]
     marks = None
-    for n, gram, w in plans:
-        chosen = test.filter(F.col("n") >= span) if n is None else test.filter(F.col("n") == n)
-        some = fingerprints(chosen, ["ik", "n"], "iw", gram, w).withColumn("plan", F.lit(n or 0))
+    for plan in plans:
+        chosen = test.filter(F.col("n") >= span) if not plan[0] else test.filter(F.col("n") == plan[0])
+        some = fingerprints(chosen, ["ik", "n"], "iw", [plan])
         marks = some if marks is None else marks.unionByName(some)
-    marks = marks.select("plan", "fp", "ik", "n", F.col("at").alias("item_at"))
-    small = marks.count() <= BROADCAST_ROWS
+    marks = stored(marks.select("plan", "fp", "ik", "n", F.col("at").alias("item_at")), f"{at}/marks")
+    n_words = test.agg(F.sum(F.size("iw").cast("long"))).first()[0] or 0
+    small = marks.count() <= BROADCAST_ROWS and n_words <= BROADCAST_WORDS
+    bits = bytearray(BITS)
+    for r in marks.filter("plan > 0").select(F.pmod("fp", F.lit(BITS)).cast("int")).distinct().collect():  # at most BITS numbers
+        bits[r[0]] = 1
 
     kept = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     keyed = kept.select(F.col(key).alias("k_"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t_"), F.col(text).alias("x_"))
-    doc_words = keyed.select("k_", "t_", text_words(F.col("x_")).alias("w_"))
-    found = None
-    for n, gram, w in plans:
-        own = fingerprints(doc_words, ["k_", "t_"], "w_", gram, w)
-        hits = own.join(_small(marks.filter(F.col("plan") == (n or 0)), small), "fp").select("k_", "t_", "ik", "n", (F.col("at") - F.col("item_at")).alias("shift"))
-        found = hits if found is None else found.unionByName(hits)
-    found = stored(found.distinct(), shared_dir(docs.sparkSession))
+    own = fingerprints(keyed.select("k_", "t_", text_words(F.col("x_")).alias("w_")), ["k_", "t_"], "w_", plans, bytes(bits))
+    found = own.join(_small(marks, small), ["plan", "fp"]).select("k_", "t_", "ik", "n", (F.col("at") - F.col("item_at")).alias("shift"))
+    found = stored(found.distinct(), f"{at}/found")
     few = found.count() <= BROADCAST_ROWS  # then the texts stay where they are
 
     texts = keyed.alias("d")
@@ -107,15 +123,16 @@ def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, item_i
     equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.get("seg", j) == F.get("iw", j), F.lit(False)))
     starts = F.filter(F.sequence(F.lit(0), F.col("n") - w), lambda s: F.forall(F.sequence(s, s + w - 1), lambda j: F.get("eq", j)))
     hits = (
-        placed.join(_small(test.select("ik", "iw", "n", "ids"), small), "ik")
-        .select("k_", "t_", "ids", "shift", "n", equal.alias("eq"))
-        .select("k_", "t_", "ids", "shift", w.alias("w"), F.explode_outer(starts).alias("s"))
+        placed.join(_small(test.select("ik", "iw", "n"), small), "ik")
+        .select("k_", "t_", "ik", "shift", "n", equal.alias("eq"))
+        .select("k_", "t_", "ik", "shift", w.alias("w"), F.explode_outer(starts).alias("s"))
         .filter(F.col("s").isNotNull())
     )
-    hits = stored(hits, shared_dir(docs.sparkSession))
+    hits = stored(hits, f"{at}/hits")
     places = F.sequence(F.col("s") + F.col("shift"), F.col("s") + F.col("shift") + F.col("w") - 1)
     n_hit = hits.select("k_", "t_", F.explode(places).alias("p")).distinct().groupBy("k_", "t_").agg(F.count("*").alias("n_hit"))
-    ids = hits.select("k_", "t_", F.explode("ids").alias("id")).distinct().groupBy("k_", "t_").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # a document's items
+    named = hits.select("k_", "t_", "ik").distinct().join(test.select("ik", "ids"), "ik")
+    ids = named.select("k_", "t_", F.explode("ids").alias("id")).distinct().groupBy("k_", "t_").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # a document's items
     judged = n_hit.alias("a").join(ids.alias("b"), F.col("a.k_").eqNullSafe(F.col("b.k_")) & (F.col("a.t_") == F.col("b.t_"))).select("a.k_", "a.t_", "n_hit", "ids")
 
     counted = kept.withColumn("kk_", F.col(key)).withColumn("tt_", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("n_words", F.size(text_words(F.col(text))).cast("long"))
