@@ -9,13 +9,15 @@ confirmed on the full sets.
 
 Documents of equal sets are one node. The nodes of a shared band are compared with the band's center, the
 node that meets most others over all its bands; all nodes with one center are its family. Families that
-this leaves in different components are compared in cells of `CELL` x `CELL` nodes, nodes outside the
-center's component against all, first by estimate, then exactly; a cell joins two components once. So no
+this leaves in different components are compared in cells of `CELL` x `CELL` nodes (fewer, where they have more
+than `CELL_SHINGLES` shingles), nodes outside the center's component against all, first by estimate, then exactly; a cell joins two components once. So no
 pair is enumerated as a row, pairs inside a component are left alone, and no link between components that
 share a band is lost. No cap on bands or candidates applies.
 
 Edge cases: null, empty or blank texts have no shingles, link with nothing and are kept; texts of fewer
-words than a shingle are one shingle; repeated rows of an id are one document and each gets a row; rows
+words than a shingle are one shingle; repeated rows of an id are one document and each gets a row; an id with
+several texts is one document too, in the group of each equal text, and its near copies are those of the text
+with the smallest digest, whatever the order of rows; rows
 with a null id get a null component and are kept; an empty table gives no rows. The input needs the key
 and text columns only; others are left out.
 """
@@ -43,7 +45,9 @@ REST_BITS = 64 - BUCKET_BITS
 MANTISSA = 10
 BAND = 4
 SIGMAS = 5.0
-CELL = 512
+CELL, CELL_SHINGLES = 512, 4 << 20
+#: Members of a family that share one copy of their center's set while they are compared with it.
+CHUNK = 256
 #: Ids to broadcast at most (8 bytes each), counted first; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 BYTES_AT_ONCE = 2 << 20
@@ -160,7 +164,7 @@ SIGNATURE = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-SETS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("members", T.BinaryType())])
+SETS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("members", T.BinaryType())])
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -174,6 +178,10 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc, n (set size), set_key (digest of the whole set), bands; docs: doc, text."""
 
@@ -183,25 +191,26 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(b.column(1)))
                 bands = registers(sets).view(np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = [_digest(s) for s in sets]
                 lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1], pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys, pa.binary()), lists], names=SIGNATURE.names)
 
     return docs.select("doc", "text").mapInArrow(tidied(run), SIGNATURE)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, members (sorted set as bytes) of the documents in ids (doc)."""
+def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc, members (sorted set as bytes) of the documents in ids (doc), for the set that reps (doc, set_key) have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole, 1):
-                sets = [s.tobytes() for s in shingle_sets(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=SETS.names)
+                sets = list(shingle_sets(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=SETS.names)
 
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.select("doc", "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return chosen.mapInArrow(tidied(run), SETS).dropDuplicates(["doc"])
+    found = chosen.mapInArrow(tidied(run), SETS).groupBy("doc", "set_key").agg(F.first("members").alias("members"))  # rows of equal sets
+    return found.join(reps.select("doc", "set_key"), ["doc", "set_key"]).select("doc", "members")
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -230,21 +239,33 @@ def _sizes_allow(n: str, m: str):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity."""
+    """The pairs (a, b) whose full sets have the similarity.
+
+    b is a center of many a: its set goes once to every CHUNK of them, before theirs, and is held while they pass by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        q = np.zeros(0, np.uint64)
+        for batch in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for a, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                p = np.frombuffer(x.as_buffer(), np.uint64)
+                if a is None:
+                    q = p.copy()
+                    keep.append(False)
+                    continue
                 at = np.searchsorted(q, p)
                 both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
                 keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=PAIR.names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=PAIR.names).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("sa")), "a")
-    two = one.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(tidied(run), PAIR)
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = pairs.select("a", "b").join(many, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
+    own = dealt.join(sets.select(F.col("doc").alias("a"), "members"), "a").select("a", "b", "members", "chunk")
+    heads = dealt.select("b", "chunk").distinct().join(sets.select(F.col("doc").alias("b"), "members"), "b")
+    heads = heads.select(F.lit(None).cast("long").alias("a"), "b", "members", "chunk")
+    ordered = own.unionByName(heads).repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
+    return ordered.select("a", "b", "members").mapInArrow(tidied(run), PAIR)
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:
@@ -279,20 +300,23 @@ def components(edges: DataFrame, at: str) -> DataFrame:
 CELLED = "center long, i int, j int, side int, doc long, root long"
 
 
-def _cells(family: DataFrame, comps: DataFrame, at: str) -> DataFrame:
+def _cells(family: DataFrame, comps: DataFrame, reps: DataFrame, at: str) -> DataFrame:
     """Rows of CELLED: what is still to compare in families that lie in several components.
 
     family: doc, center. Outside the center's component stand the rows of side 0, cut into `rows` parts,
-    against all members (side 1) in `cols` parts, CELL documents each: part i meets part j in cell (i, j).
+    against all members (side 1) in `cols` parts, of CELL documents and CELL_SHINGLES shingles each, as far as
+    hashing deals them evenly: part i meets part j in cell (i, j).
     Pairs with the center were compared before.
     """
     label = lambda c, to: comps.select(F.col("node").alias(c), F.col("root").alias(to))
     known = family.join(label("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     known = known.join(label("center", "main"), "center", "left").withColumn("main", F.coalesce("main", "center"))
+    known = known.join(reps.select("doc", "n"), "doc")
     known = stored(known, f"{at}/known")  # so that what follows isn't bound to a center's one partition
     outside = F.col("root") != F.col("main")
-    open_ = known.groupBy("center").agg(F.count(F.when(outside, 1)).alias("out"), F.count("*").alias("all")).filter("out > 0 and all > 1")
-    open_ = open_.select("center", F.ceil(F.col("out") / CELL).cast("int").alias("rows"), F.ceil(F.col("all") / CELL).cast("int").alias("cols"))
+    open_ = known.groupBy("center").agg(F.count(F.when(outside, 1)).alias("out"), F.count("*").alias("all"), F.sum(F.when(outside, F.col("n"))).alias("out_n"), F.sum("n").alias("all_n")).filter("out > 0 and all > 1")
+    parts = lambda count, n: F.ceil(F.greatest(F.col(count) / CELL, F.col(n) / CELL_SHINGLES)).cast("int")
+    open_ = open_.select("center", parts("out", "out_n").alias("rows"), parts("all", "all_n").alias("cols"))
     part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     open_ = stored(open_, f"{at}/open")
@@ -370,7 +394,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     sig = stored(signatures(docs), f"{at}/signatures")
     groups = stored(sig.filter("n > 0 and doc is not null").groupBy("set_key").agg(F.min("doc").alias("rep")), f"{at}/groups")
-    reps = stored(sig.filter("n > 0").join(groups.select(F.col("rep").alias("doc"), "set_key"), ["doc", "set_key"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "bands"), f"{at}/reps")
+    reps = stored(sig.filter("n > 0").join(groups.select(F.col("rep").alias("doc"), "set_key"), ["doc", "set_key"], "left_semi").groupBy("doc").agg(F.min_by(F.struct("n", "bands", "set_key"), "set_key").alias("x")).select("doc", "x.*"), f"{at}/reps")
 
     bands = reps.select("doc", F.posexplode("bands").alias("band", "key")).filter("key <> 0")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -385,7 +409,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     star = stored(_likely(star.join(side("a"), "a").join(side("b"), "b").filter(_sizes_allow("n_a", "n_b"))), f"{at}/star")
 
     ids = lambda pairs: pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = stored(full_sets(docs, stored(ids(star), f"{at}/ids")), f"{at}/sets")
+    sets = stored(full_sets(docs, stored(ids(star), f"{at}/ids"), reps), f"{at}/sets")
     best = star.groupBy("a").agg(F.max(F.struct("j", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
     links = stored(confirmed(best, sets), f"{at}/links1")
     comps = components(links, f"{at}/cc1")
@@ -400,9 +424,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = links.unionByName(stored(confirmed(rest, sets), f"{at}/links2"))
     comps = components(links, f"{at}/cc2")
 
-    active = stored(_active(_cells(family, comps, at), reps), f"{at}/active")
+    active = stored(_active(_cells(family, comps, reps, at), reps), f"{at}/active")
     new = stored(active.select("doc").distinct().join(sets.select("doc"), "doc", "left_anti"), f"{at}/ids3")
-    more = sets.unionByName(stored(full_sets(docs, new), f"{at}/sets3"))
+    more = sets.unionByName(stored(full_sets(docs, new, reps), f"{at}/sets3"))
     last = stored(_cell_links(active, more), f"{at}/links3")
     if not last.isEmpty():
         comps = components(links.unionByName(last), f"{at}/cc3")
@@ -413,3 +437,19 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rooted.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept")
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+     '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+k AS (SELECT s, list(doc_id) AS ids FROM g GROUP BY s HAVING count(*) > 1),
+p AS (SELECT a, b, count(*) AS c FROM (SELECT a, unnest(ids) AS b FROM (SELECT ids, unnest(ids) AS a FROM k)) WHERE a < b GROUP BY a, b),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id, min(reached) = r.doc_id AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -94,3 +94,17 @@ def test_words_of_slices():
     texts = pa.array(["a B\tc", None, "  É é ", "x\x0by\x0cz"] * 500, pa.large_string())
     h, at = N.word_hashes(texts.slice(3, 1200))
     assert np.diff(at).tolist() == [3, 3, 0, 2] * 300
+
+
+def test_texts_under_one_id_give_the_same_result_in_any_order(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (5, " ".join(base)), (7, near(base, 2)), (8, near(other, 3)), (9, " ".join(other)), (3, "alone " * 9)]
+    found = []
+    for n in (1, 3, 5):
+        df = spark.createDataFrame(rows[::-1] if n == 3 else rows, "doc_id long, text string").repartition(n)
+        found.append(sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df, "doc_id", "text").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    component = {d: c for d, _, c, _ in found[0]}
+    assert component[5] == component[9] == 5 and component[3] == 3 and 5 in (component[7], component[8])
