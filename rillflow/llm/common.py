@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,24 @@ def n_blank_words(text: Column) -> Column:
     return F.size(words(text, BLANK)).cast("long")
 
 
+def chance(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1, in steps fine enough for any number of rows."""
+    return F.shiftrightunsigned(h, 1) / float(1 << 63)
+
+
+_made: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Shared folders made within are deleted at the end; what was read from them must be written elsewhere."""
+    n = len(_made)
+    yield
+    for at in _made[n:]:
+        remove(spark, at)
+    del _made[n:]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which executors and the driver share.
 
@@ -49,6 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.gettempdir() + "/rillflow-shared"
     at = f"{base.rstrip('/')}/rillflow-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, at)
+    _made.append(at)
     return at
 
 

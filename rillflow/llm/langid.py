@@ -3,15 +3,16 @@
 Words (runs without ASCII white space; only their letters count) get a log score per language from
 hashed letter trigrams. The script of a word, read from Unicode ranges, leaves only the languages that
 were seen in that script. Viterbi decoding over the words, with a penalty for every switch of language,
-labels spans; the document's language is the one whose spans hold the most letters, its score their
-share of all letters.
+labels spans; the document's language is the one whose spans hold the most letters. Its score is the mean
+over the letters of all words of the language's probability, given the word alone: lower for texts of other
+languages in part, and for texts whose words say little.
 
 Training takes at most about `PER_LANGUAGE` documents of each language, chosen by a hash of
 their keys: a bound that is a parameter. Everything else covers all words of all documents.
 
 Edge cases: null text and text without a letter give `und` with score 0 and no spans; words of a script
 that no language was trained on carry no evidence; ties go to the language first by code point; without
-any training row every document is `und`. Repeated rows are scored one by one. Columns of the input are
+any training row every document is `und`. An empty table gives no rows. Repeated rows are scored one by one. Columns of the input are
 kept, apart from the names added.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import split_words, tidied
+from .common import chance, split_words, tidied
 
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 16
@@ -141,8 +142,7 @@ def train(docs: DataFrame, text: str, lang: str, key: str | None = None, per_lan
     docs = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key or text).alias("draw"))
     docs = docs.filter("text is not null and lang is not null")
     sizes = docs.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    draw = F.pmod("draw", F.lit(1_000_000)) / 1_000_000
-    sample = docs.join(F.broadcast(sizes), "lang").filter(draw < F.col("share")).select("lang", "text")  # a row per language
+    sample = docs.join(F.broadcast(sizes), "lang").filter(chance(F.col("draw")) < F.col("share")).select("lang", "text")  # a row per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,6 +183,8 @@ def label(texts: pa.Array, model: Model) -> list[tuple[str, float, list[tuple[st
     if not model.languages or not len(codes):
         return [("und", 0.0, [])] * len(texts)
     scores, letters = model.word_scores(coded.dictionary.to_pylist())
+    share = np.exp(scores)
+    share /= share.sum(axis=1, keepdims=True)
     out = []
     for a, b in zip(at, at[1:]):  # noqa: B905
         own = codes[a:b]
@@ -196,7 +198,7 @@ def label(texts: pa.Array, model: Model) -> list[tuple[str, float, list[tuple[st
         best = int(held.argmax())
         cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
         spans = [(model.languages[path[x]], x, y - x) for x, y in zip(cuts, cuts[1:])]  # noqa: B905
-        out.append((model.languages[best], float(held[best]) / total, spans))
+        out.append((model.languages[best], min(1.0, float(n @ share[own, best]) / total), spans))
     return out
 
 

@@ -12,7 +12,8 @@ bound that is a parameter. Scores, sums and posteriors cover all documents.
 
 Edge cases: null text is empty and is scored by its shape; null hosts and paths are groups of their own;
 without labels, or with one class only, the classifier says 0.5 or the class's smoothed share; documents
-with several labels count the largest; repeated rows count one by one; an empty table gives no rows.
+with several labels count the largest; repeated rows count one by one; an empty table gives no rows; very long
+texts are one batch by themselves. Other columns are kept; columns named like a label or p_<label> are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, split_words, stored, tidied
+from .common import chance, shared_dir, split_words, stored, tidied
 
 SAMPLE = 8000
 WORDS, MIN_DOCS, MIN_Z = 300, 8, 4.0
@@ -142,7 +143,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPLE) -> Model:
     """labelled: text and 0/1 columns `labels`; a null says nothing of its label only."""
     n = labelled.count()
-    draw = F.pmod(F.xxhash64(text), F.lit(1_000_000)) / 1_000_000
+    draw = chance(F.xxhash64(text))
     some = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).cast("int").alias(c) for c in labels]).filter(draw < (sample / n if n > sample else 1.1))
     sums = [f"{k}_{c}" for c in labels for k in ("m", "n")]  # documents with the label known, and with it set
     fields = ", ".join(f"{c} long" for c in sums)
@@ -199,7 +200,7 @@ def train(labelled: DataFrame, text: str, labels: list[str], sample: int = SAMPL
 def classify(docs: DataFrame, text: str, model: Model) -> DataFrame:
     """Replaces the column `text` by p_<label> for each label."""
     labels = list(model.weights)
-    given = [c for c in docs.columns if c != text]
+    given = [c for c in docs.columns if c != text and c not in {f"p_{x}" for x in labels}]
     schema = T.StructType([*(docs.schema[c] for c in given), *(T.StructField(f"p_{c}", T.DoubleType()) for c in labels)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, katz, langid, media_query, mixing, neardup, quality, sharding, styletree, token_files
-from .common import n_blank_words, shared_dir, stored, table
+from .common import chance, n_blank_words, shared_dir, stored, table
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(*[F.max(c).alias(f"{c}_known") for c in labels])
     known = stored(known.dropna("all", subset=[f"{c}_known" for c in labels]), shared_dir(spark))
     share = quality.SAMPLE / max(1, known.count())
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share)  # about SAMPLE rows: broadcast
-    labelled = docs.join(F.broadcast(drawn), "doc_id").select("text", *[F.col(f"{c}_known").alias(c) for c in labels])
+    drawn = known.filter(chance(F.xxhash64("doc_id")) < share)  # about SAMPLE rows: broadcast
+    labelled = stored(docs.join(F.broadcast(drawn), "doc_id").select("text", *[F.col(f"{c}_known").alias(c) for c in labels]), shared_dir(spark))
     scored = stored(quality.classify(docs.withColumn("path", F.concat_ws("/", "source", "lang")).drop("lang"), "text", quality.train(labelled, "text", labels)), shared_dir(spark))
     found = quality.posteriors(scored.join(known, "doc_id", "left"), "source", "path", labels)
     return found.select("doc_id", "quality", "toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"), "p_quality", "p_toxic")
@@ -131,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_winnowing": decontaminate.ORACLE}
+    return {"op2_winnowing": decontaminate.ORACLE, "op8_neardup": neardup.ORACLE}

@@ -52,3 +52,9 @@ def test_without_training_rows_all_is_undetermined(spark):
     model = langid.train(docs, "text", "lang")
     assert [r.lang_pred for r in langid.identify(docs, "text", model).collect()] == ["und", "und"]
     assert langid.identify(docs.limit(0), "text", model).count() == 0
+
+
+def test_score_is_lower_where_words_say_less(spark):
+    model = langid.train(corpus(spark), "text", "lang")
+    sure, mixed, short = (s for _, s, _ in langid.label(pa.array(["the house walking three with thing", "the house дом это walking улица", "a"]), model))
+    assert 0 <= mixed < sure <= 1 and 0 <= short < sure
