@@ -28,7 +28,8 @@ def moving_average(df: DataFrame, keys: list[str], panes: int, slide: str) -> Da
     return out.select("window_end", *keys, F.expr("s div c").alias("mean"))
 
 
-MEAN = Aggregator(lambda: (0, 0), lambda s, r: (s[0] + r.cents, s[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[0] / s[1])
+#: The second largest of all values (the largest, if it is alone), which no built-in aggregate gives with partial merging.
+SECOND = Aggregator(lambda: (), lambda s, r: tuple(sorted((*s, r.cents))[-2:]), lambda a, b: tuple(sorted((*a, *b))[-2:]), lambda s: s[0])
 
 
 def _events(s, d: str, *kinds: str) -> DataFrame:
@@ -55,7 +56,7 @@ QUERIES = {
     "ledger_join": lambda s, d: joins.ledger(_events(s, d, "purchase"), _events(s, d, "error"), "user_id", "cents"),
     "period_join": lambda s, d: joins.period_sums(_events(s, d, "purchase"), _events(s, d, "click"), "user_id", "ts", "cents", "1 day"),
     "multi_source_count": lambda s, d: stateless.merge(_events(s, d, "view"), _events(s, d, "signup")).groupBy("user_id").agg(F.count("*").alias("n")),
-    "custom_aggregate": lambda s, d: aggregate(_events(s, d).select("user_id", "cents"), ["user_id"], MEAN, T.StructField("mean", T.DoubleType())).withColumn("mean", F.round("mean", 6)),
+    "custom_aggregate": lambda s, d: aggregate(_events(s, d).select("user_id", "cents"), ["user_id"], SECOND, T.StructField("second", T.LongType())),
     "top_events": lambda s, d: windows.top_k(_events(s, d).select("event_id", "user_id", "cents"), ["user_id"], [F.col("cents").desc(), F.col("event_id")], 3),
 }
 
@@ -78,6 +79,6 @@ ORACLES = {
     "ledger_join": f"SELECT user_id, sum(CASE event_type WHEN 'purchase' THEN cents ELSE -cents END)::BIGINT AS state1, sum(CASE event_type WHEN 'purchase' THEN -cents ELSE cents END)::BIGINT AS state2 FROM ({_E}) WHERE event_type IN ('purchase', 'error') GROUP BY user_id",
     "period_join": f"SELECT {_B.format('1 DAY')} + INTERVAL 1 DAY AS period_end, user_id, sum(CASE event_type WHEN 'purchase' THEN cents ELSE 0 END)::BIGINT AS sum1, sum(CASE event_type WHEN 'click' THEN cents ELSE 0 END)::BIGINT AS sum2 FROM ({_E}) WHERE event_type IN ('purchase', 'click') GROUP BY ALL",
     "multi_source_count": "SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('view', 'signup') GROUP BY user_id",
-    "custom_aggregate": f"SELECT user_id, round(sum(cents) / count(*), 6) AS mean FROM ({_E}) GROUP BY user_id",
+    "custom_aggregate": f"SELECT user_id, list_sort(list(cents), 'DESC')[least(2, count(*))] AS second FROM ({_E}) GROUP BY user_id",
     "top_events": f"SELECT event_id, user_id, cents, (row_number() OVER (PARTITION BY user_id ORDER BY cents DESC, event_id))::INTEGER AS rank FROM ({_E}) QUALIFY rank <= 3",
 }
