@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +92,28 @@ def test_broken_files_have_defined_rows():
     assert len(list(tiff.read_pages(bytes(looped)))) == 2
 
 
+def plain_read(data):
+    """Width, height and samples of a little-endian, deflated TIFF of one directory, read without the operator's code."""
+    assert data[:4] == b"II*\0"
+    at = struct.unpack_from("<I", data, 4)[0]
+    tags = {}
+    for k in range(struct.unpack_from("<H", data, at)[0]):
+        tag, kind, n = struct.unpack_from("<HHI", data, at + 2 + 12 * k)
+        form = {1: "B", 2: "c", 3: "H", 4: "I"}.get(kind)
+        if form:
+            size = n * struct.calcsize(form)
+            where = at + 10 + 12 * k if size <= 4 else struct.unpack_from("<I", data, at + 10 + 12 * k)[0]
+            tags[tag] = struct.unpack_from(f"<{n}{form}", data, where)
+    width, height, out = tags[256][0], tags[257][0], b""
+    assert tags[259][0] in (8, 32946)
+    for where, n in zip(tags[273], tags[279], strict=True):
+        out += zlib.decompress(data[where : where + n])
+    if tags.get(317, (1,))[0] == 2:
+        rows = np.frombuffer(out, np.uint8).reshape(-1, width)
+        out = np.cumsum(rows, axis=1, dtype=np.uint64).astype(np.uint8).tobytes()
+    return width, height, out
+
+
 def test_operator_keeps_other_columns_and_rows(spark):
     texts = [None, "", "a", "é" * 300, "long " * 50_000, "a"]
     df = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], "doc_id long, text string, width string")
@@ -103,4 +127,15 @@ def test_operator_keeps_other_columns_and_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.samples == payload
     assert got[2].media_sha256 == got[5].media_sha256
+    media = {r.doc_id: bytes(r.media) for r in tiff.with_tiff(df, "text").collect()}
+    for i, data in media.items():
+        r = got[i]
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        width, height, samples = plain_read(data)
+        assert samples == r.samples and width * height == len(samples)
+        count = Counter(samples)
+        entropy = -sum(n / len(samples) * math.log2(n / len(samples)) for n in count.values())
+        size, mean, found, levels = r.feature.split()
+        assert (size, levels) == (f"{width}x{height}", f"levels={len(count)}")
+        assert abs(float(mean[5:]) - sum(samples) / len(samples)) < 1e-4 and abs(float(found[8:]) - entropy) < 1e-4
     assert tiff.tiff_pages(tiff.with_tiff(df.limit(0), "text"), "media").count() == 0
