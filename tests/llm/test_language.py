@@ -1,11 +1,17 @@
+import bisect
+import functools
 import itertools
+import math
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rillflow.llm import langid
+from rillflow.llm import langid, registry
 
 WORDS = {"en": ["the", "house", "with", "thing", "walking", "three"], "de": ["der", "schön", "haus", "gehen", "über", "nicht"], "ru": ["дом", "это", "хорошо", "улица"], "el": ["σπίτι", "καλό", "δρόμος"]}
 
@@ -58,3 +64,72 @@ def test_score_is_lower_where_words_say_less(spark):
     model = langid.train(corpus(spark), "text", "lang")
     sure, mixed, short = (s for _, s, _ in langid.label(pa.array(["the house walking three with thing", "the house дом это walking улица", "a"]), model))
     assert 0 <= mixed < sure <= 1 and 0 <= short < sure
+
+
+def plain_language(docs):
+    """Predictions for (doc_id, text, lang) rows in plain Python: counts, word scores, and every path's best by recursion."""
+    crc = lambda i: zlib.crc32(str(i).encode())
+    mask, names = (1 << 64) - 1, langid.SCRIPT_NAMES
+
+    def grams(word):
+        letters = [c for c in word.lower() if c.isalpha()]
+        points = [0, *map(ord, letters), 0]
+        for a, b, c in zip(points, points[1:], points[2:], strict=False):
+            h = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ c * 0x165667B19E3779F9) & mask
+            h ^= h >> 29
+            yield (h * 0xD6E8FEB86659FD93 & mask) >> 48, langid.SCRIPTS[bisect.bisect_right(langid.SCRIPT_STARTS, b) - 1]
+
+    split = lambda t: re.split(r"[\x20\x09-\x0D]+", t or "")
+    count, script = defaultdict(Counter), defaultdict(Counter)
+    for i, text, lang in docs:
+        if text is not None and lang is not None and crc(i) % 5:
+            for w in split(text):
+                for bucket, s in grams(w):
+                    count[lang][bucket] += 1
+                    script[lang][s] += 1
+    languages = sorted(count)
+    seen = len(set().union(*count.values()))
+    total = {k: sum(c.values()) + langid.SMOOTHING * seen for k, c in count.items()}
+    uses = {s: [k for k in languages if script[k][s] >= langid.SCRIPT_SHARE * sum(script[k].values())] for s in names}
+
+    @functools.cache
+    def scores(word):
+        g = list(grams(word))
+        if not g or not uses[g[0][1]]:
+            return tuple(0.0 for _ in languages), len(g)
+        raw = [sum(math.log((count[k][b] + langid.SMOOTHING) / total[k]) for b, _ in g) if k in uses[g[0][1]] else -math.inf for k in languages]
+        return tuple(max(x - max(raw), -langid.WORD_LIMIT) for x in raw), len(g)
+
+    out = {}
+    for i, text, _ in docs:
+        own = [scores(w) for w in split(text)]
+        letters = sum(n for _, n in own)
+        if not letters:
+            out[i] = ("und", 0.0)
+            continue
+        value, back = list(own[0][0]), []
+        for row, _ in own[1:]:
+            steps = [max(range(len(value)), key=lambda j: value[j] - (langid.SWITCH if j != k else 0)) for k in range(len(value))]  # noqa: B023
+            value = [row[k] + value[j] - (langid.SWITCH if j != k else 0) for k, j in enumerate(steps)]
+            back.append(steps)
+        path = [value.index(max(value))]
+        for steps in reversed(back):
+            path.append(steps[path[-1]])
+        held = Counter()
+        for k, (_, n) in zip(reversed(path), own, strict=True):
+            held[k] += n
+        best = max(range(len(languages)), key=lambda k: (held[k], -k))
+        share = sum(n * math.exp(row[best]) / sum(map(math.exp, row)) for row, n in own) / letters
+        out[i] = (languages[best], share)
+    return out
+
+
+def test_whole_query_against_plain_python(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = plain_language(docs)
+    got = registry.op4_language(spark, folder).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-6
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)

@@ -1,9 +1,11 @@
 import math
 import random
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 
+from rillflow.llm import registry
 from rillflow.llm import styletree as S
 
 
@@ -156,3 +158,41 @@ def test_a_tree_too_large_to_broadcast_is_joined(spark, monkeypatch):
 def test_few_pages_say_little():
     importance = lambda k, m: 1 - math.log(k) / math.log(m + S.SPARSE)
     assert importance(2, 2) > S.THRESHOLD and importance(3, 3) > S.THRESHOLD and importance(5, 5) < S.THRESHOLD and importance(100, 100) < 0.02
+
+
+class Plain(HTMLParser):
+    """Blocks of the article by the standard library's parser: enough for the given pages, which mark all else by tag or class."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1].append(" ")
+        elif tag in ("p", "h1", "article"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def test_whole_query_against_another_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    want = {}
+    for r in rows:
+        p = Plain()
+        p.feed(r.html or "")
+        p.close()
+        want[r.page_id] = "\n".join(t for t in (" ".join("".join(b).split()) for b in p.blocks) if t)
+    got = registry.op10_site_style(spark, folder).collect()
+    assert len(got) == len(rows) and sum(r.text != want[r.page_id] for r in got) == 0
+    assert all(r.n_chars == len(r.text) for r in got)
