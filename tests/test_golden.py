@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.operators import running, windows
+from rillflow.operators import running, stateless, windows
 from rillflow.plans import nexmark, traces
 
 T0 = datetime(1970, 1, 1)
@@ -135,3 +135,23 @@ def test_empty_and_null_inputs(spark):
     assert nexmark.hot_items(bids).collect() == [] and nexmark.highest_bid(bids).collect() == []
     nulls = frame(spark, [(None, None, None, at(1), 1)], "auction long, bidder long, price long, ts timestamp_ntz, bid_id long")
     assert nexmark.currency(nulls).collect()[0].price is None and nexmark.selection(nulls).collect() == []
+
+
+def test_exchanges(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").coalesce(1)
+    sizes = [r[1] for r in stateless.round_robin(df, 4).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 8
+    dealt = stateless.key_by(df, 4, "k").select("k", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(dealt) == 7  # all rows of a key in one task
+    text = stateless.key_by(df, 4, "k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1  # what follows by the same key isn't shuffled again
+    buckets = spark.range(20_000).select(stateless.key_bucket("id").alias("b")).groupBy("b").count().collect()
+    assert {r.b for r in buckets} == set(range(128)) and max(r["count"] for r in buckets) < 2 * min(r["count"] for r in buckets)
+    assert spark.range(5).select(stateless.key_bucket("id", buckets=1)).distinct().count() == 1
+
+
+def test_flatmap_and_merge(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "id long, items array<long>")
+    assert [(r.id, r.item) for r in stateless.flatmap(df, F.col("items"), "item").collect()] == [(1, 1), (1, 2)]
+    merged = stateless.tagged([("a", spark.createDataFrame([(1,)], "x long")), ("b", spark.createDataFrame([(2, "s")], "x long, y string"))])
+    assert sorted((r.input, r.x, r.y) for r in merged.collect()) == [("a", 1, None), ("b", 2, "s")]
