@@ -238,10 +238,11 @@ def _sizes_allow(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, at: str) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity.
 
     b is a center of many a: its set goes once to every CHUNK of them, before theirs, and is held while they pass by.
+    Up to BROADCAST_IDS pairs are broadcast to the sets; more are joined by a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +261,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=PAIR.names).filter(pa.array(keep, pa.bool_()))
 
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.select("a", "b").join(many, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")))
-    own = dealt.join(sets.select(F.col("doc").alias("a"), "members"), "a").select("a", "b", "members", "chunk")
-    heads = dealt.select("b", "chunk").distinct().join(sets.select(F.col("doc").alias("b"), "members"), "b")
+    dealt = stored(pairs.select("a", "b").join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk")), at)
+    few = dealt.count() <= BROADCAST_IDS
+    small = lambda df: F.broadcast(df) if few else df
+    own = small(dealt).join(sets.select(F.col("doc").alias("a"), "members"), "a").select("a", "b", "members", "chunk")
+    heads = small(dealt.select("b", "chunk").distinct()).join(sets.select(F.col("doc").alias("b"), "members"), "b")
     heads = heads.select(F.lit(None).cast("long").alias("a"), "b", "members", "chunk")
     ordered = own.unionByName(heads).repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
     return ordered.select("a", "b", "members").mapInArrow(tidied(run), PAIR)
@@ -411,7 +414,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     ids = lambda pairs: pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     sets = stored(full_sets(docs, stored(ids(star), f"{at}/ids"), reps), f"{at}/sets")
     best = star.groupBy("a").agg(F.max(F.struct("j", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
-    links = stored(confirmed(best, sets), f"{at}/links1")
+    links = stored(confirmed(best, sets, f"{at}/dealt1"), f"{at}/links1")
     comps = components(links, f"{at}/cc1")
 
     def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -421,7 +424,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
         return pairs.filter("root_a <> root_b").select("a", "b")
 
     rest = apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
-    links = links.unionByName(stored(confirmed(rest, sets), f"{at}/links2"))
+    links = links.unionByName(stored(confirmed(rest, sets, f"{at}/dealt2"), f"{at}/links2"))
     comps = components(links, f"{at}/cc2")
 
     active = stored(_active(_cells(family, comps, reps, at), reps), f"{at}/active")
