@@ -119,10 +119,13 @@ def _runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[begin[i] : begin[i] + size[i]] for all i, one after another."""
-    ends = np.cumsum(size, dtype=np.int64)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-    at = np.repeat((begin - (ends - size)).astype(kind), size)
+    total = int(size.sum(dtype=np.int64))
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64  # half the memory, nearly always
+    shift = begin.astype(kind)
+    shift -= np.cumsum(size, dtype=kind)
+    shift += size
+    at = np.repeat(shift, size)
+    del shift
     at += np.arange(total, dtype=kind)
     return flat[at]
 
@@ -246,19 +249,24 @@ class Encoder:
         cut[1:] |= kind[:-1] == LINE
         cut[1:] |= (kind[1:] == MARK) & (kind[:-1] == LETTER)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        at = np.flatnonzero(cut)
+        edges = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
         del cut, kind
-        edges = np.append(at, len(data)).astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
+        first = np.searchsorted(edges[:-1], offsets.astype(np.int32))
+        del pieces, edges
         if not len(codes):
             yield rows, np.zeros(0, self.dtype), np.zeros(len(rows) + 1, np.int64)
             return
         flat, size = self._pieces(coded.dictionary)
-        count = size[codes]
-        tokens = np.concatenate([[0], np.cumsum(count)])
-        yield rows, _gathered(flat, (np.cumsum(size) - size)[codes], count), tokens[np.searchsorted(at, offsets)]
+        size = size.astype(np.int32)
+        begin, count = (np.cumsum(size, dtype=np.int32) - size)[codes], size[codes]
+        tokens = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=tokens[1:])
+        ends = tokens[first]
+        del tokens, codes, coded
+        yield rows, _gathered(flat, begin, count), ends
 
 
 ENCODED = T.StructType(
